@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_of, finite_vectors, materialize, matrix, top_rows
+from .common import chunk_of, finite_vectors, materialize, matrix, operator, top_rows
 
 BLOCK_ROWS, CHUNK_ROWS, TILE = 8192, 4096, 512
 OUT = "query_id long, vec_id long, score long"
@@ -93,6 +93,7 @@ def _descending(score: np.ndarray) -> np.ndarray:
     return ~score  # order-reversing for all longs
 
 
+@operator
 def top_k_inner_product(df: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the Column is_query picks its k best other rows.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_of, finite_vectors, matrix, top_rows
+from .common import chunk_of, finite_vectors, matrix, operator, top_rows
 
 TREES, BITS, CANDIDATES, BLOCK_ROWS, CHUNK_ROWS = 16, 64, 16384, 16384, 2048
 OUT = "query_id long, vec_id long, score double"
@@ -73,6 +73,7 @@ class Forest:
         return g[best], v[best], s[best]
 
 
+@operator
 def nearest_neighbours(df: DataFrame, is_query, k: int = 10, trees: int = TREES, candidates: int = CANDIDATES, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the Column is_query picks the k nearest other rows found.
 

@@ -5,25 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import transcode
 from .common import table
+from .html_text import extract_text
 from .inner_product import top_k_inner_product
 from .jump_shard import shard_rows
+from .language import held_out, identify, train
+from .packing import pack
 from .prefix_forest import nearest_neighbours
+from .warc import build_derivatives, responses_of
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcode(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
+
+
 def op4_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_inner_product(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", "content")
+    return build_derivatives(responses_of(table(spark, sf_dir, "pages")), keep=("page_id",), columns=columns)
+
+
 def op7_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_forest, op4_inner_product, op7_jump_shard)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train(documents.filter(~held_out() & F.col("doc_id").isNotNull()))
+    return identify(documents, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_bpe, op3_packing, op4_inner_product, op5_warc, op7_jump_shard, op9_html_text, op10_language)}
 
 ORACLE_SQL = {
     "op4_inner_product": """
