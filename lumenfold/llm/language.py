@@ -165,7 +165,7 @@ class Model:
                 e, m = entropy[own, i], n[own]
                 self.usual[i] = np.median(e)
                 over = np.maximum(e - self.usual[i], 0)
-                self.near[i] = MARGIN * max(np.quantile(over, QUANTILE), 0.25 * self.usual[i])
+                self.near[i] = MARGIN * max(np.quantile(over, QUANTILE), 0.5 * self.usual[i])
                 self.far[i] = MARGIN * np.quantile(over * np.sqrt(m), QUANTILE)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

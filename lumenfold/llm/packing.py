@@ -1,10 +1,10 @@
 """Mixture-controlled packing of token streams into sequences by deficit round-robin.
 
-Documents are encoded once and dealt by id hash into parts of about PART_TOKENS tokens. In each part every source has a
-queue. Windows of WINDOW sequences are filled one after another: each source's deficit grows by its target share of the
+Documents are encoded once. Id hashes deal them into small blocks; a source's blocks, one after another, are its stream, and
+the streams are cut, at equal shares of each, into parts of about PART_TOKENS tokens. In a part every source has a queue. Windows of WINDOW sequences are filled one after another: each source's deficit grows by its target share of the
 window and it sends that many tokens, what a queue cannot send goes to those that are owed most, and the deficits carry
 over to the next window. Deficits also carry across parts: a part begins with what each source is owed after all parts
-before it, which prefix sums over the (part, source) token counts give. The round-robin itself sees counts only.
+before it, which prefix sums over token counts give. The round-robin itself sees counts only.
 
 Sequences are full but in a part's tail, which is cut into powers of two; so there is no padding at all.
 """
@@ -23,8 +23,8 @@ from .bpe import broadcast_spec, codec
 from .common import materialize, operator
 
 PART_TOKENS, WINDOW = 1 << 19, 32
-#: Parts whose prefix sums one task adds up.
-SPAN = 1024
+#: Blocks of a source's stream for each part, and how many blocks or parts one task adds up in the prefix sums.
+BLOCKS, SPAN = 16, 1024
 ENCODED_BATCH = 256
 
 
@@ -41,7 +41,8 @@ def encode_rows(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
                 packed = [x + end for x in c.encode_batch([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // c.width.itemsize for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "source", "n", "ids"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col))
+    named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # null apart from an empty name
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), named.alias("source"), F.col(text_col))
     return rows.mapInArrow(run, "doc_id long, source string, n long, ids binary")
 
 
@@ -75,9 +76,18 @@ def tail_lengths(tokens: int, length: int) -> np.ndarray:
     return np.array([length] * full + [1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1], np.int64)
 
 
+def _before(counts: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """counts with the sum of have over all rows of the same keys before: spans of at first, then within a span."""
+    spanned = counts.withColumn("span", F.floor(F.col(at) / SPAN))
+    sums = spanned.groupBy("span", *keys).agg(F.sum("have").alias("n"))
+    sums = sums.select("span", *keys, (F.sum("n").over(Window.partitionBy(*keys, F.lit(0)).orderBy("span")) - F.col("n")).alias("spans"))
+    inside = spanned.withColumn("inside", F.sum("have").over(Window.partitionBy("span", *keys).orderBy(at)) - F.col("have"))
+    return inside.join(sums, ["span", *keys]).select(at, *keys, "have", (F.col("spans") + F.col("inside")).alias("before"))
+
+
 def _schedule(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source"], na_position="first")
+        pdf = pdf.sort_values("source")
         sent = round_robin(pdf["have"].to_numpy(), pdf["share"].to_numpy(), pdf["deficit"].to_numpy(), window)
         at = np.r_[0, np.cumsum(sent.ravel())[:-1]].reshape(sent.shape)
         start = np.cumsum(sent, axis=0) - sent
@@ -134,33 +144,25 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, wei
     spec = broadcast_spec(df.sparkSession, tokenizer)
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(1, -(-total // part_tokens))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)).alias("part")
-    have = rows.select(part, "source", "n").groupBy("part", "source").agg(F.sum("n").alias("have"))
-    have = materialize(have.withColumn("span", F.floor(F.col("part") / SPAN)), "packing-counts")
-
-    def before(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """What all parts before hold: spans first, then the parts within a span."""
-        spans = counts.groupBy("span", *keys).agg(F.sum("have").alias("n"))
-        sums = spans.select("span", *keys, (F.sum("n").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("span")) - F.col("n")).alias("spans"))
-        inside = counts.select("part", "span", *keys, (F.sum("have").over(Window.partitionBy("span", *keys).orderBy("part")) - F.col("have")).alias("inside"))
-        same = [inside[x].eqNullSafe(sums[x]) for x in ("span", *keys)]
-        return inside.join(sums, same).select("part", *(inside[x] for x in keys), (F.col("spans") + F.col("inside")).alias(name))
-
-    all_before = before(have.groupBy("part", "span").agg(F.sum("have").alias("have")), [], "all_before")
-    own_before = before(have, ["source"], "own_before")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts * BLOCKS)).alias("block")
+    have = materialize(rows.select(block, "source", "n").groupBy("block", "source").agg(F.sum("n").alias("have")), "packing-counts")
+    totals = have.groupBy("source").agg(F.sum("have").alias("all"))
     if weights is None:
-        totals = have.groupBy("source").agg((F.sum("have") / F.lit(float(max(total, 1)))).alias("share"))
-        known = have.join(totals, have["source"].eqNullSafe(totals["source"])).select("part", have["source"], "have", "share")
+        share = F.col("all") / F.lit(float(max(total, 1)))
     else:
         whole = float(sum(weights.values()))
-        share = F.coalesce(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v / whole))))[F.col("source")], F.lit(0.0))
-        known = have.select("part", "source", "have", share.alias("share"))
-    state = known.join(all_before, "part").join(own_before.withColumnRenamed("part", "p").withColumnRenamed("source", "s"), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    state = state.select("part", "source", "have", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("deficit"))
-    plan = state.groupBy("part").applyInPandas(_schedule(WINDOW * length), "part long, source string, start_at array<long>, sent array<long>, place array<long>, tokens long")
-    queue = Window.partitionBy("part", "source").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "n", F.crc32("ids"))
-    queued = rows.select("doc_id", "source", "n", "ids", part).withColumn("before", F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    plan = plan.withColumnsRenamed({"part": "_part", "source": "_source"})
-    placed = queued.join(plan, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "part", "n", "ids", "before", "start_at", "sent", "place", "tokens")
+        share = F.coalesce(F.create_map(*(x for k, v in weights.items() for x in (F.lit(f"={k}"), F.lit(v / whole))))[F.col("source")], F.lit(0.0))
+    # a block goes to the part that its place in its source's stream falls into, so all parts hold nearly equal shares
+    placed = _before(have, "block", ["source"]).join(totals, "source")
+    placed = placed.select("block", "source", "have", "before", share.alias("share"), F.least(F.lit(parts - 1), F.floor(F.col("before").cast("double") * parts / F.col("all"))).cast("long").alias("part"))
+    state = placed.groupBy("part", "source", "share").agg(F.sum("have").alias("have"), F.min("before").alias("own_before"))
+    sizes = _before(state.groupBy("part").agg(F.sum("have").alias("have")), "part", []).select("part", F.col("before").alias("all_before"))
+    state = materialize(state.join(sizes, "part").withColumn("deficit", F.col("share") * F.col("all_before") - F.col("own_before")), "packing-parts")
+    plan = state.select("part", "source", "have", "share", "deficit").groupBy("part").applyInPandas(_schedule(WINDOW * length), "part long, source string, start_at array<long>, sent array<long>, place array<long>, tokens long")
+    plan = plan.join(state.select("part", "source", "own_before"), ["part", "source"])
+    streams = placed.select("block", "source", "part", F.col("before").alias("base")).join(plan, ["part", "source"]).withColumn("base", F.col("base") - F.col("own_before")).drop("own_before")
+    queue = Window.partitionBy("block", "source").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "n", F.crc32("ids"))
+    queued = rows.select("doc_id", "source", "n", "ids", block).withColumn("inside", F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    placed = queued.join(streams, ["block", "source"]).select("doc_id", "part", "n", "ids", (F.col("base") + F.col("inside")).alias("before"), "start_at", "sent", "place", "tokens")
     width = codec(spec.value).width
     return placed.mapInArrow(_cut(length, width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
