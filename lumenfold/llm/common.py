@@ -58,6 +58,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that it can be grouped together with another frame from the same table."""
+    return df.select(*(F.col(c).alias(f"{c}_") for c in df.columns)).select(*(F.col(f"{c}_").alias(c) for c in df.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -263,14 +263,14 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         m = shipped.value
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in b.column(kept.index(text_col) if text_col in kept else len(kept)).to_pylist()]
             for part in _portions(texts):
                 lang, score, e, ok = m.predict(texts[part])
                 rows = b.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), pa.array(lang, pa.string()), pa.array(score), pa.array(e), pa.array(ok)], [*kept, "lang_pred", "score", "cross_entropy", "accepted"])
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    read = df.select(*(F.col(c) for c in kept), F.col(text_col).alias("_text"))
+    read = df.select(*(F.col(c) for c in kept), *([] if text_col in kept else [F.col(text_col).alias("_text")]))
     return read.mapInArrow(run, f"{types}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 

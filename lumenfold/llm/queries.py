@@ -13,6 +13,8 @@ from .jump_shard import shard_rows
 from .language import held_out, identify, train
 from .packing import pack
 from .prefix_forest import nearest_neighbours
+from .shingle_join import similar_documents
+from .suffix_repeats import remove_repeats
 from .warc import build_derivatives, responses_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,10 +47,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_derivatives(responses_of(table(spark, sf_dir, "pages")), keep=("page_id",), columns=columns)
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -59,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_bpe, op3_packing, op4_inner_product, op5_warc, op7_jump_shard, op9_html_text, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_bpe, op3_packing, op4_inner_product, op5_warc, op6_suffix_repeats, op7_jump_shard, op8_shingle_join, op9_html_text, op10_language)}
 
 ORACLE_SQL = {
     "op4_inner_product": """
