@@ -101,18 +101,21 @@ def read_object_curves(spark: SparkSession, root: str, catalog: DataFrame, key:
 
 
 def file_report(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """path, bytes and state (empty or full) of files, to leave zero-byte ones out."""
+    """path and bytes of the files with content; Spark's readers pass over zero-byte files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("bytes"), F.when(F.col("length") == 0, "empty").otherwise("full").alias("state"))
+    return files.select("path", F.col("length").alias("bytes"))
 
 
 def read_checked(spark: SparkSession, root: str, schema: str, class_col: str, classes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the target classes of CSV files, and the number of rows by state: valid, corrupt, other_class."""
+    """Rows of the target classes of CSV files, and the number and checksum of rows by state: valid, corrupt, other_class.
+
+    The checksum reads all columns: a reader that skips some would not see that they are corrupt.
+    """
     bad = "_corrupt"
     df = spark.read.schema(f"{schema}, {bad} string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(root)
     state = F.when(F.col(bad).isNotNull(), "corrupt").when(F.col(class_col).isin(classes), "valid").otherwise("other_class")
     marked = df.withColumn("_state", state)
-    return marked.filter(F.col("_state") == "valid").drop(bad, "_state"), marked.groupBy(F.col("_state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return marked.filter(F.col("_state") == "valid").drop(bad, "_state"), marked.groupBy(F.col("_state").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*(c for c in df.columns if c != bad))).alias("checksum"))
 
 
 def explode_curves(df: DataFrame, json_col: str) -> DataFrame:

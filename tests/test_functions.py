@@ -62,7 +62,7 @@ def test_sky_edges_against_brute_force(spark):
     r = random.Random(7)
     pts = [(359.9995, 0.0), (0.0005, 0.0), (10.0, 89.9995), (190.0, 89.9995), (20.0, -89.999), (200.0, -89.9999), (50.0, 89.0), (50.2, 89.0), (0.0, 90.0), (0.0, -90.0)]
     pts += [(r.uniform(0, 360), math.degrees(math.asin(r.uniform(-1, 1)))) for _ in range(400)] + [(r.uniform(0, 360), r.choice([-1, 1]) * r.uniform(88.5, 90)) for _ in range(100)]
-    other = [(ra + r.uniform(-0.5, 0.5), max(-90, min(90, de + r.uniform(-0.5, 0.5)))) for ra, de in pts] + [(0.0, 0.0), (0.0, 0.0)]
+    other = [(ra + r.uniform(-0.5, 0.5), max(-90.0, min(90.0, de + r.uniform(-0.5, 0.5)))) for ra, de in pts] + [(0.0, 0.0), (0.0, 0.0)]
     a, b = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, ra double, dec double"), spark.createDataFrame([(i, *p) for i, p in enumerate(other)], "id int, ra double, dec double")
 
     def sep(p, q):
