@@ -67,7 +67,7 @@ def _split(data: bytes) -> tuple[bytes, bytes]:
 
 
 def get(headers: list[tuple[str, str]], name: str) -> str:
-    return next((v for k, v in headers if k.lower() == name), "")
+    return next((v for k, v in headers if k.lower() == name.lower()), "")
 
 
 def read_records(data: bytes):
