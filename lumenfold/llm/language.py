@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import operator
+from .common import materialize, operator
 
 #: Bound of the samples: documents of each language to count n-grams in, and to calibrate rejection on.
 SAMPLE, CALIBRATION = 1500, 300
@@ -194,16 +194,22 @@ def _portions(texts: list[str]) -> Iterator[slice]:
 
 
 def sample_of(df: DataFrame, bound: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """lang, text and rank of at most bound rows of each language, by hash of the id."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(19)).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i", "text"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= bound).select("lang", "rank", "text")
+    """lang, text and rank of at most bound rows of each language, by hash of the id.
+
+    Rows are ranked without their texts; the chosen ones, bound for each language at most, are broadcast to the texts.
+    """
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    named = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i", F.lit(19)), "i"))
+    chosen = named.distinct().withColumn("rank", rank).filter(F.col("rank") <= bound)
+    texts = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), ["lang", "i"]).select("lang", "rank", "text")
 
 
 @operator
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
     """Fit on the rows of df with a language: at most sample documents of each to count, and calibration more to calibrate."""
-    ranked = sample_of(df, sample + calibration, id_col, text_col, lang_col)
+    ranked = materialize(sample_of(df, sample + calibration, id_col, text_col, lang_col), "language-sample")
     every = int(max(2, round((sample + calibration) / max(calibration, 1))))
     fit, held = ranked.filter(F.col("rank") % every != 0), ranked.filter(F.col("rank") % every == 0)
 
