@@ -4,10 +4,12 @@ Exact. Equal sets are one set from the start. Candidates come from segments: the
 two sets above the threshold can differ in tokens, so such sets agree in whole segments; a set has one key for each
 segment, made of all its tokens there. Keys are met in one sorted stream that lists the sets of each repeated key.
 
-First every set is compared with the set it shares most keys with, and the links found give components: partitions of
-similar sets. Cut to GROUP sets, these are the groups of the matrix. A group stores the union of its tokens; a set that
-shares a key with a group of another component asks for it; its overlap with the union bounds its overlap with every
-member, and only groups where the bound qualifies are opened, their members compared and further links found.
+First every set is compared with the set it shares most keys with. The links found give components; the same choices,
+link or not, give clusters of similar sets. Components, and what is left of each cluster besides large components, are
+cut into the groups of the matrix. A group stores the union of its tokens with the members that hold each; a set that
+shares a key with a member of another component asks for that group once; its overlap with the union bounds its overlap
+with every member, and only groups where the bound qualifies are opened. Members of one component need no comparison,
+so a well linked class costs little; sets that resemble each other but do not link meet by whole groups, not by pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, operator
 from .components import connected_components
 
-#: Members of a matrix group, others that one task compares with a first set, asking sets that one task takes for a group.
-GROUP, OTHERS, ASKING = 32, 2048, 1024
+#: Members of a matrix group, others that one task compares with a first set, asking sets that one task takes for a group;
+#: and the tokens that any of these hold together (one larger set stands alone).
+GROUP, OTHERS, ASKING, TOKENS = 256, 2048, 1024, 1 << 21
 #: Bytes of text that are hashed at a time.
 BUFFER = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -246,18 +249,30 @@ def _with_first(percent: int):
 
 
 def _open_groups(percent: int):
-    """One matrix group and the sets that ask for it: links with the members of groups whose union overlaps enough."""
+    """One matrix group and the sets that ask for it: a link to each other component that has a similar member."""
 
     def run(members: pa.Table, asking: pa.Table) -> pa.Table:
         if not len(members) or not len(asking):
             return _links([])
-        ids, sets = members.column("sid").to_pylist(), _tokens(members.column("tokens"))
-        union = np.unique(np.concatenate(sets))
+        ids, roots, sets = members.column("sid").to_pylist(), members.column("root").to_numpy(), _tokens(members.column("tokens"))
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        by = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(len(sets)), size)[by]
+        union, start = np.unique(flat[by], return_index=True)
+        count = np.diff(np.r_[start, len(flat)])
         found = []
-        for s, q in zip(asking.column("sid").to_pylist(), _tokens(asking.column("tokens")), strict=True):
+        for s, r, q in zip(asking.column("sid").to_pylist(), asking.column("root").to_pylist(), _tokens(asking.column("tokens")), strict=True):
             at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-            if 100 * int((union[at] == q).sum()) >= percent * len(q):
-                found += [(s, i) for i, x in zip(ids, sets, strict=True) if alike(q, x, percent)]
+            at = at[union[at] == q]
+            least = max(int(size.min()), -(-percent * len(q) // 100))
+            if (100 + percent) * len(at) < percent * (len(q) + least):
+                continue
+            n = count[at]
+            places = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(holder[places], minlength=len(sets))
+            like = np.flatnonzero(((100 + percent) * both >= percent * (len(q) + size)) & (roots != r))
+            found += [(s, ids[i]) for i in like[np.unique(roots[like], return_index=True)[1]]]
         return _links(found)
 
     return run
@@ -267,6 +282,11 @@ def _split(by: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(by), F.greatest(n, F.lit(1))).cast("int")
 
 
+def _parts(most: int) -> Column:
+    """Into how many parts the rows of a group go, by their number and their tokens n."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum("n") / F.lit(TOKENS))).cast("int").alias("parts")
+
+
 @operator
 def similar_documents(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id that links reach) of every document.
@@ -283,34 +303,39 @@ def similar_documents(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     shared = materialize(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_repeated, "key long, first long, sid long"), "join-keys")
     ends = shared.select(F.col("first").alias("sid")).unionByName(shared.select("sid")).distinct()
     # one document of each set that shares a key
-    chosen = rows.groupBy("sid").agg(F.min(F.struct("doc", "n")).alias("d")).join(ends, "sid", "left_semi").select("sid", F.col("d.doc").alias("doc"))
+    chosen = rows.groupBy("sid").agg(F.min(F.struct("doc", "n")).alias("d")).join(ends, "sid", "left_semi")
+    chosen = materialize(chosen.select("sid", F.col("d.doc").alias("doc"), F.col("d.n").alias("n")), "join-chosen")
     texts = named.dropDuplicates(["doc", "text"]) if rows.groupBy("doc").count().filter("count > 1").limit(1).count() else named
-    sets = materialize(texts.join(chosen, "doc").select("sid", "text").mapInArrow(_sets(words), "sid long, tokens binary"), "join-sets")
+    sets = materialize(texts.join(chosen.select("sid", "doc"), "doc").select("sid", "text").mapInArrow(_sets(words), "sid long, tokens binary"), "join-sets")
     if texts is not named:  # an id with several texts gives sets of other names too: keep those whose name fits
         sets = materialize(sets.mapInArrow(_fitting, "sid long, tokens binary").dropDuplicates(["sid"]), "join-sets")
 
     # each set with the first set that it shares most keys with
     votes = shared.groupBy("sid", "first").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("sid").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
-    spread = best.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / F.lit(OTHERS)).alias("parts"))
+    best = materialize(votes.groupBy("sid").agg(F.max_by("first", F.struct("n", "first")).alias("first")), "join-best")
+    spread = best.join(chosen, "sid").groupBy("first").agg(_parts(OTHERS))
     others = best.join(spread, "first").withColumn("part", _split(F.col("sid"), F.col("parts"))).select("first", "part", "sid")
     others = others.join(sets, "sid").select("first", "part", "sid", "tokens")
-    heads = spread.join(sets.withColumnRenamed("sid", "first"), "first").select("first", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), "tokens")
+    heads = spread.join(sets.withColumnRenamed("sid", "first"), "first").select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tokens")
     links = materialize(fresh(heads).groupBy("first", "part").cogroup(fresh(others).groupBy("first", "part")).applyInArrow(_with_first(percent), "u long, v long"), "join-links")
     linked = connected_components(links, "join-components")
+    near = connected_components(best.select(F.col("sid").alias("u"), F.col("first").alias("v")), "join-clusters")
 
-    # the matrix: components cut to groups, and the sets that share a key with a group of another component
-    member = materialize(_grouped(ends, linked), "join-groups")
+    # the matrix: groups, and the sets that share a key with a member of another component
+    member = materialize(_grouped(chosen.select("sid", "n"), linked, near), "join-groups")
     on_keys = shared.select("key", F.col("first").alias("sid")).distinct().unionByName(shared.select("key", "sid")).join(member, "sid")
     mixed = on_keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
     open_keys = materialize(on_keys.join(mixed, "key", "left_semi"), "join-open")
-    groups = open_keys.select("key", F.col("root").alias("group_root"), F.col("group").alias("to")).distinct()
-    asked = open_keys.join(groups, "key").filter(F.col("root") < F.col("group_root")).select("sid", F.col("group_root").alias("root"), "to").distinct()
-    asked = materialize(asked, "join-asked")
-    loads = asked.groupBy("root", "to").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKING)).alias("parts"))
-    queries = asked.join(loads, ["root", "to"]).withColumn("part", _split(F.col("sid"), F.col("parts"))).join(sets, "sid").select("root", "to", "part", "sid", "tokens")
-    matrix = member.withColumnRenamed("group", "to").join(loads, ["root", "to"]).join(sets, "sid").select("root", "to", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), "sid", "tokens")
-    by = ["root", "to", "part"]
+    group, to = ("whole", "name", "part"), ("to_whole", "to_name", "to_part")
+    groups = open_keys.select("key", *(F.col(x).alias(y) for x, y in zip(group, to, strict=True))).distinct()
+    # of two groups one asks, and a set does not ask for its own component
+    asked = open_keys.join(groups, "key").filter((F.struct(*group) <= F.struct(*to)) & ~((F.col("to_whole") == 1) & (F.col("to_name") == F.col("root"))))
+    asked = materialize(asked.select("sid", "n", "root", *to).distinct(), "join-asked")
+    loads = asked.groupBy(*to).agg(_parts(ASKING))
+    by = [*to, "turn"]
+    queries = asked.join(loads, [*to]).withColumn("turn", _split(F.col("sid"), F.col("parts"))).join(sets, "sid").select(*by, "sid", "root", "tokens")
+    members = member.select("sid", "root", *(F.col(x).alias(y) for x, y in zip(group, to, strict=True))).join(loads, [*to])
+    matrix = members.join(sets, "sid").select(*to, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("turn"), "sid", "root", "tokens")
     more = fresh(matrix).groupBy(*by).cogroup(fresh(queries).groupBy(*by)).applyInArrow(_open_groups(percent), "u long, v long")
 
     # components over sets, then over documents
@@ -328,8 +353,13 @@ def _fitting(batches):
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def _grouped(ends: DataFrame, linked: DataFrame) -> DataFrame:
-    """sid, root, group: every set that shares a key, its component, and its group of about GROUP sets within it."""
-    rooted = ends.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("parts"))
-    return rooted.join(sizes, "root").select("sid", "root", _split(F.col("sid"), F.col("parts")).alias("group"))
+def _grouped(sets: DataFrame, linked: DataFrame, near: DataFrame) -> DataFrame:
+    """sid, n, root and group (whole, name, part) of every set: large components are cut into groups of their own (whole 1,
+    the root as name), the other sets of a cluster into groups together (whole 0, the cluster as name)."""
+    placed = sets.join(linked.withColumnRenamed("node", "sid"), "sid", "left").join(near.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid", "left")
+    placed = placed.select("sid", "n", F.coalesce("root", "sid").alias("root"), F.coalesce("cluster", "sid").alias("cluster"))
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("count"))
+    named = placed.join(sizes, "root").withColumn("whole", (F.col("count") >= GROUP).cast("int"))
+    named = named.withColumn("name", F.when(F.col("whole") == 1, F.col("root")).otherwise(F.col("cluster")))
+    parts = named.groupBy("whole", "name").agg(_parts(GROUP))
+    return named.join(parts, ["whole", "name"]).select("sid", "n", "root", "whole", "name", _split(F.col("sid"), F.col("parts")).alias("part"))
