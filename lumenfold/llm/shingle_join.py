@@ -103,9 +103,9 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 def size_classes(percent: int, largest: int) -> np.ndarray:
     """Lower ends of classes of set sizes; two sets above the threshold lie in one class or in neighbours."""
     out = [1]
-    while out[-1] <= largest:
+    while len(out) < 2 or out[-2] <= largest:  # two ends above the largest, so that no class depends on what else is there
         out.append(max(out[-1] + 1, -(-out[-1] * 3 // 2), -(-out[-1] * 100 // percent)))
-    return np.array([*out, out[-1] * 2], np.int64)
+    return np.array(out, np.int64)
 
 
 def differing(percent: int, size: int) -> int:

@@ -116,6 +116,23 @@ def test_classes_reach_every_partner():
         assert differing(percent, 1) == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_pairs_across_class_ends_in_separate_buffers(spark, monkeypatch, percent):
+    import lumenfold.llm.shingle_join as m
+
+    monkeypatch.setattr(m, "BUFFER", 1)
+    low = size_classes(percent, 1500).tolist()
+    rows = []
+    for end in [x for x in low if 80 < x < 1500]:
+        base = [f"e{end}w{i}" for i in range(end + 5)]
+        rows += [(2 * end, " ".join(base[: end - 3])), (2 * end + 1, " ".join(base))]
+    want = linked(rows, 3, percent)
+    assert all(c == i - i % 2 for i, (_, c) in want.items())
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(frame(spark, rows), 3, percent).collect()}
+    assert got == want
+    assert all(size_classes(percent, n).tolist() == low[: len(size_classes(percent, n))] for n in range(1, 1500))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(200, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
