@@ -26,8 +26,9 @@ class Forest:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, trees: int, seed: int):
         self.distinct, inverse = np.unique(x, axis=0, return_inverse=True)
-        by = np.lexsort((ids, inverse.ravel()))
-        self.ids, self.start = ids[by], np.r_[0, np.cumsum(np.bincount(inverse.ravel(), minlength=len(self.distinct)))]
+        pairs = np.unique(np.stack([inverse.ravel(), ids], axis=1), axis=0)  # a repeated row counts once
+        self.ids, self.start = pairs[:, 1], np.r_[0, np.cumsum(np.bincount(pairs[:, 0], minlength=len(self.distinct)))]
+        self.most = int(np.unique(pairs[:, 1], return_counts=True)[1].max())  # different vectors of one id
         self.centre = self.distinct.mean(axis=0)
         self.planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1], BITS))
         hashes = self.hash(self.distinct)
@@ -59,16 +60,19 @@ class Forest:
         return [np.unique(np.concatenate([self.order[t, lo[t, i] : hi[t, i]] for t in range(len(h))])) for i in range(n)]
 
     def nearest(self, qi: np.ndarray, q: np.ndarray, k: int, want: int):
-        """(query position, id, distance) of the k nearest candidates of each query."""
-        found = []
+        """(query position, id, distance) of the k nearest candidates of each query, each id once."""
+        found, least = [], (k + 1) * self.most  # so many vectors have k + 1 ids
         for i, c in enumerate(self.candidates(q, want)):
             d = np.sqrt(((self.distinct[c] - q[i]) ** 2).sum(axis=1))
-            if len(c) > k + 1:
-                c = c[d <= (cut := np.partition(d, k)[k])]
+            if len(c) > least:
+                c = c[d <= (cut := np.partition(d, least - 1)[least - 1])]
                 d = d[d <= cut]
             for p, s in zip(c, d, strict=True):  # of equal vectors the k + 1 smallest ids are enough
                 found += [(i, v, s) for v in self.ids[self.start[p] : min(self.start[p + 1], self.start[p] + k + 1)] if v != qi[i]]
         g, v, s = (np.array(z, t) for z, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
+        by = np.lexsort((s, v, g))
+        by = by[np.r_[True, (g[by][1:] != g[by][:-1]) | (v[by][1:] != v[by][:-1])]] if len(by) else by
+        g, v, s = g[by], v[by], s[by]
         best = top_rows(g, s, v, k)
         return g[best], v[best], s[best]
 
@@ -80,11 +84,11 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, trees: int = TREES,
     score: Euclidean distance in double precision; ties to the smaller id. Copies of a vector are hashed once and do
     not crowd out other candidates. Defined cases: rows with a null id, null, empty or zero vector, or null or
     non-finite components take no part; vectors of different lengths are not compared; a query's own id is never its
-    candidate and of rows with one id and one vector one counts; fewer than k candidates give fewer rows.
+    candidate; of rows with one id and one vector one counts, of an id's several vectors the nearest; fewer than k candidates give fewer rows.
     """
     spark = df.sparkSession
     some = F.exists("v", lambda x: x != 0)
-    vectors = finite_vectors(df, id_col, vector_col).filter(some)
+    vectors = finite_vectors(df, id_col, vector_col).filter(some).dropDuplicates(["id", "v"])
     queries = finite_vectors(df.filter(F.coalesce(is_query, F.lit(False))), id_col, vector_col).filter(some).dropDuplicates(["id"])
     n = vectors.count()
     if not n:

@@ -70,6 +70,20 @@ def test_forest_recall_on_clustered_rows():
     assert np.mean([len(set(ids[g == i]) & set(want[i])) / 10 for i in range(len(q))]) >= 0.9
 
 
+def test_repeated_rows_take_no_places(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 6))
+    once = Forest(x, np.arange(60), 16, 11).nearest(np.array([0]), x[:1], 10, 2000)
+    often = Forest(np.repeat(x, 12, axis=0), np.repeat(np.arange(60), 12), 16, 11).nearest(np.array([0]), x[:1], 10, 2000)
+    assert len(once[1]) == 10 and all((a == b).all() for a, b in zip(once, often, strict=True))
+    y = np.r_[x, x[1] + np.arange(1, 31)[:, None] * 1e-9]  # one id with 31 vectors, all near each other
+    _, ids, _ = Forest(y, np.r_[np.arange(60), np.ones(30, int)], 16, 11).nearest(np.array([0]), x[1:2], 10, 2000)
+    assert len(set(ids)) == 10 and ids[0] == 1
+    df, _ = odd_vectors(spark, n=210)
+    want, got = (sorted(map(tuple, nearest_neighbours(t, F.col("vec_id") % 25 == 0, k=10).collect())) for t in (df, df.unionByName(df)))
+    assert got == want
+
+
 @pytest.mark.parametrize("search", [top_k_inner_product, nearest_neighbours])
 def test_empty_tables_and_few_candidates(spark, search):
     df, _ = odd_vectors(spark)
