@@ -46,6 +46,7 @@ FEATURES = 16 + 6 + 6 + 6 + 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -92,8 +93,7 @@ def read_page(page: str) -> Node:
             leaf.text, leaf.linked, leaf.links = [text], min(linked, len(text)), links
         run, linked, links = [], 0, 0
 
-    at, lower = 0, None
-    n = len(page)
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         cut = m.start() if m else n
@@ -109,12 +109,10 @@ def read_page(page: str) -> Node:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW and not closing:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
+            end = _RAW_END[tag].search(page, at)
+            if not end:
                 break
-            end = page.find(">", end)
+            end = page.find(">", end.start())
             at = n if end < 0 else end + 1
             continue
         if tag in DROPPED:

@@ -38,6 +38,13 @@ def test_small_pages(html, text):
     assert page_of(html) == text
 
 
+def test_letters_that_lower_case_lengthens_move_no_end():
+    before = "\u0130stanbul " * 40 + "is where this sentence, long enough to stay, begins and ends."
+    html = f"<article><p>{before}</p><SCRIPT>var x = '</p><p>no';</Script><p>Another one, which stays as well.</p><style>p{{}}</style><p>And the last one, which stays too.</p></article>"
+    leaves = [x.text[0] for x in html_text.nodes_of(html_text.read_page(html)) if x.tag == "#text"]
+    assert leaves == [before, "Another one, which stays as well.", "And the last one, which stays too."]
+
+
 def test_dropped_nodes_drop_all_inside():
     nodes = html_text.nodes_of(html_text.read_page("<div><p>a a a</p><section><p>b b b</p><p>c c c</p></section></div>"))
     tags = [x.tag for x in nodes]
