@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize, table
+from lumenfold.llm.common import materialize, table, with_row_ids
 from lumenfold.llm.language import identify, train
 from lumenfold.llm.packing import pack
 from lumenfold.llm.queries import tokenizer_path
@@ -26,17 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: five-word shingles, similarity 0.8 or more; the smallest doc_id stays."""
-    found = similar_documents(docs, words=5, percent=80)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each component of links: five-word shingles, similarity 0.8 or more; the smallest doc_id stays.
+
+    Each row is a document of its own, also where rows share a doc_id or have none (these come last)."""
+    rows = with_row_ids(docs.select(*COLUMNS), "doc_id", "text", "row_id")
+    found = similar_documents(rows, words=5, percent=80, id_col="row_id")
+    gone = found.filter(F.col("component_id") != F.col("row_id")).select("row_id")
+    return rows.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 100-byte strings that start earlier; n_chars follows. Rows stay, null ids as they are."""
-    kept = remove_repeats(docs, keep=("lang", "source"), as_text=True)
-    out = kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+    """Every document without the bytes of 100-byte strings that start earlier; n_chars follows. Rows stay."""
+    kept = remove_repeats(docs, keep=("lang", "source"), as_text=True, every_row=True)
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

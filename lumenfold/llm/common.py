@@ -67,6 +67,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_ids(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """df with name, a number of each row that rises with the id (null last): the id itself where every row has its own.
+
+    Rows that share an id, or have none, follow by a hash of the text and then as they are read, in range partitions, so
+    one id's rows may lie in several; the result is written once, as the numbers depend on where the ranges are cut.
+    """
+    several = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1))
+    if several.limit(1).isEmpty():
+        return df.withColumn(name, F.col(id_col).cast("long"))
+    order = [F.col(id_col).asc_nulls_last(), F.col("_hash").asc(), F.col("_turn").asc()]
+    dealt = df.withColumn("_hash", F.xxhash64(text_col)).withColumn("_turn", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "rows-read").repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.drop("_hash", "_turn").withColumn(name, F.monotonically_increasing_id()), "rows-numbered")
+
+
 def finite_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (array<double>) and dim of the rows with an id and a non-empty vector of finite components."""
     v = F.col(vector_col)

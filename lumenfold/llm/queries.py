@@ -48,7 +48,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    kept = remove_repeats(table(spark, sf_dir, "documents"), every_row=True)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, operator
+from .common import materialize, operator, with_row_ids
 
 LENGTH, SEED = 100, 37
 SIDE = LENGTH - SEED  # bytes on either side of an anchor that its strings can reach
@@ -395,23 +395,27 @@ def _apply(extra: int, as_text: bool):
 
 
 @operator
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), piece: int = PIECE, as_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), piece: int = PIECE, as_text: bool = False, every_row: bool = False) -> DataFrame:
     """id_col, the columns of keep, n_bytes, n_removed, n_spans and kept (what stays) of every document.
 
     Exact: each byte that a LENGTH-byte string covers which also starts earlier (smaller id, or earlier in the same
     document) goes; strings are judged on the input and never cross documents. kept is binary, as a repeat may begin inside
     a character; with as_text it is text, without characters that lost bytes. Defined cases: null text counts as empty; rows with a null id are left out; of rows that share an
-    id the one with the smallest text stays; other columns are not read; an empty table gives no rows.
+    id the one with the smallest text stays; other columns are not read; an empty table gives no rows. With every_row
+    each row is a document of its own, in the order of with_row_ids, and none is left out.
     """
-    named = df.filter(F.col(id_col).isNotNull())
-    if not named.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).isEmpty():
+    if every_row:
+        named = with_row_ids(df.select(*dict.fromkeys([id_col, text_col, *keep])), id_col, text_col, "_row")
+    else:
+        named = df.filter(F.col(id_col).isNotNull()).withColumn("_row", F.col(id_col).cast("long"))
+    if not every_row and not named.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).isEmpty():
         rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *(F.col(c).cast("string") for c in keep)))
         named = named.withColumn("_rank", rank).filter(F.col("_rank") == 1)
     extra = [c for c in keep if c != id_col]
-    documents = named.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    documents = named.select(F.col("_row").alias("doc"), F.col(text_col).alias("text"))
     spans = repeated_spans(documents, piece).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    rows = named.select(F.col(id_col), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(extra)), F.col(text_col).alias("_text"))
-    joined = rows.join(spans, rows[id_col] == spans["doc"], "left").select(id_col, *(f"_keep{i}" for i in range(len(extra))), "_text", "_spans")
+    rows = named.select("_row", F.col(id_col), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(extra)), F.col(text_col).alias("_text"))
+    joined = rows.join(spans, rows["_row"] == spans["doc"], "left").select(id_col, *(f"_keep{i}" for i in range(len(extra))), "_text", "_spans")
     types = [f"`{id_col}` {df.schema[id_col].dataType.simpleString()}", *(f"_keep{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))]
     done = joined.mapInArrow(_apply(len(types), as_text), ", ".join([*types, f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"]))
     return done.withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(extra)})

@@ -192,6 +192,25 @@ def test_repeats_with_repeated_ids_and_empty_table(spark):
     assert remove_repeats(frame(spark, rows).filter("false")).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_stay_documents(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    passage, near = words_of(r, 30), words_of(r, 200).split(" ")
+    texts = [(1, f"{words_of(r, 40)} {passage}"), (1, f"{passage} {words_of(r, 40)}"), (1, words_of(r, 50)), (2, " ".join(near)), (3, " ".join([*near[:-1], "end"])), (3, words_of(r, 60)), (None, f"{words_of(r, 45)} {passage}"), (None, words_of(r, 70)), (None, words_of(r, 70)), (4, None)]
+    rows = [*texts, texts[8]]  # a copy without an id
+    docs = spark.createDataFrame([(i, t, "xx", f"s{n}", 0) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.materialize(corpus_pipeline.near_duplicates(spark, docs, ""), "test")
+    left = kept.collect()
+    assert collections.Counter((x["doc_id"], x["text"]) for x in left) == collections.Counter(t for t in texts if t[0] != 3 or t[1] == texts[5][1])
+    out = {x["source"]: (x["doc_id"], x["text"]) for x in corpus_pipeline.repeated_strings(spark, kept, "").collect()}
+    assert set(out) == {x["source"] for x in left}
+    whole = [s for s in ("s0", "s1", "s6") if passage in out[s][1]]
+    assert len(whole) == 1 and whole[0] in ("s0", "s1")  # the first of id 1; rows without an id come last
+    assert all(len(out[s][1]) < len(texts[int(s[1:])][1]) - 90 for s in {"s0", "s1", "s6"} - set(whole))
+    assert all(out[x["source"]] == (x["doc_id"], x["text"] or "") for x in left if x["source"] not in ("s0", "s1", "s6"))
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path):
     import corpus_pipeline
 
