@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,8 +24,8 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, root of every node of edges (u, v): root is the smallest node that it reaches.
 
-    Each two rounds are written out, so lineage stays short; only two numbers a round come to the driver. Rounds go on
-    until the edges stay as they are, which is logarithmic in the number of nodes.
+    Each two rounds are written out, so lineage stays short, and the edges before them removed; only two numbers a round
+    come to the driver. Rounds go on until the edges stay as they are, which is logarithmic in the number of nodes.
     """
     now = materialize(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), label)
     mark = None
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         stamp = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         if tuple(stamp) == mark or not stamp[0]:
             break
-        mark = tuple(stamp)
+        mark, before = tuple(stamp), now
         now = materialize(_round(_round(now, True), False), label)
+        release(before)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
