@@ -2,9 +2,13 @@
 
 A rolling hash over the UTF-8 bytes cuts texts where their content says so, so passages that documents share give the
 same chunks wherever they stand. A worker encodes a chunk once and keeps it: its body, from its first to its last
-certain break (a single space between two non-spaces, which no pre-token spans), is final. What is left between two
-bodies, the joins, is repaired by encoding it anew: a join grows over as many chunks as needed until both its ends are
-certain breaks, where the re-encoded tokens and those of the bodies must agree. Words are encoded once as well.
+certain break (a single space between two non-spaces, which no pre-token spans), with the words at the body's ends. What
+is left between two bodies, the join, is encoded anew together with the last word of the body before it and the first of
+the body after it. The re-encoded tokens must agree with those of the bodies there; where they don't, the join takes in
+the bodies and is encoded again, until they agree or the text ends. Words are encoded once as well.
+
+Chunks are shared by all documents that a worker reads, not across workers: to send a chunk's tokens through a shuffle
+costs more than to encode it.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from .common import operator
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s|^ | $")
+#: White space as the pattern means it (Unicode's White_Space), in runs so long that the pattern's look-ahead must not meet them.
+LONG_RUN = 4096
+_LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: One cut in 256 bytes on average, decided by the 16 bytes before it.
 WINDOW, MASK = 16, 255
 #: Entries are dropped when a worker's caches reach this many bytes of text; they only save time.
@@ -44,6 +51,9 @@ class Codec:
 
     def __init__(self, spec: str):
         model = json.loads(spec)
+        pre, added = model.get("pre_tokenizer") or {}, model["added_tokens"]
+        if model.get("normalizer") or model["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only byte-level BPE without a normalizer, prefix space or flags of added tokens is known here")
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
@@ -56,6 +66,7 @@ class Codec:
             self.bytes_of[i] = token
         self.spaced = np.array([t[:1] == b" " for t in self.bytes_of])
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.single = tiktoken.Encoding("single", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # a text is one pre-token
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
@@ -63,7 +74,17 @@ class Codec:
         self.gear = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), self.width).tobytes()
+        """The packed ids of a text. Of a run of white space all but the last character, or all at the text's end, is one
+        pre-token; long runs are taken out here, as the pattern's search keeps a state for each character of them."""
+        found = _LONG.search(text) if len(text) >= LONG_RUN else None
+        if not found:
+            return np.array(self.bpe.encode_ordinary(text), self.width).tobytes()
+        out, at = [], 0
+        while found:
+            end = found.end() - (found.end() < len(text))
+            out += [*self.bpe.encode_ordinary(text[at : found.start()]), *self.single.encode_ordinary(text[found.start() : end])]
+            at, found = end, _LONG.search(text, found.end())
+        return np.array([*out, *self.bpe.encode_ordinary(text[at:])], self.width).tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Encode those words (each after one space) that are not known yet, all in one call."""
@@ -78,7 +99,7 @@ class Codec:
         self.held += size
         plain = [w for w in new if w and " " not in w and not w[0].isspace()]
         if plain:
-            ids = np.array(self.bpe.encode_ordinary(" " + " ".join(plain)), self.width)
+            ids = self.ids(self.raw(" " + " ".join(plain)))
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(plain):
                 packed, at = ids.tobytes(), [*(starts * self.width.itemsize).tolist(), ids.nbytes]
@@ -134,21 +155,20 @@ class Codec:
         at = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
         return [*at[(b[at] & 0xC0) != 0x80].tolist(), len(b)]
 
-    def chunk(self, raw: bytes) -> tuple[str, bytes | None, str]:
-        """Text before the first certain break, packed ids of the body, text after the last; no body if there is no break."""
-        text = raw.decode()
+    def chunk(self, raw: bytes) -> tuple[str, list[str], bytes, str]:
+        """Text before the first certain break, words and packed ids of the body, text after the last; no words if there is no body."""
+        text = raw.decode("utf-8", "surrogatepass")
         first = _BREAK.search(text)
         if not first:
-            return text, None, ""
+            return text, [], b"", ""
         last = text.rfind(" ")
         while last > first.start() and not (last + 1 < len(text) and not text[last + 1].isspace() and not text[last - 1].isspace()):
             last = text.rfind(" ", 0, last)
-        head, tail = text[: first.start()], text[last:]
         if last == first.start():
-            return head, b"", tail
+            return text, [], b"", ""
         words = self.words_of(text[first.start() + 1 : last])
         self.learn(words)
-        return head, b"".join(map(self.words.__getitem__, words)), tail
+        return text[: first.start()], words, b"".join(map(self.words.__getitem__, words)), text[last:]
 
     def encode_chunked(self, text: str) -> bytes:
         """Packed ids of a whole text from reused chunks and repaired joins."""
@@ -156,7 +176,9 @@ class Codec:
         return self._with_special(parts, [self._chunked(s) for s in parts[::2]])
 
     def _chunked(self, text: str) -> bytes:
-        raw, at, join, out = text.encode(), 0, [], []
+        raw, at = text.encode("utf-8", "surrogatepass"), 0
+        done: list[tuple] = []  # of each body so far: the join before it, that join's ids, the body's words and ids
+        join = ""
         for end in self.cuts(raw):
             key = raw[at:end]
             at = end
@@ -168,13 +190,38 @@ class Codec:
                     self.chunks.clear()
                     self.chunks_held = len(key)
                 self.chunks[key] = found
-            head, body, tail = found
-            join.append(head)
-            if body is not None:
-                out += [self.plain("".join(join)), body]
-                join = [tail]
-        out.append(self.plain("".join(join)))
-        return b"".join(out)
+            head, words, body, tail = found
+            join += head
+            if words:
+                repaired = self._repaired(done, join, words[0])
+                if repaired is None:
+                    join = f"{self._taken_in(done, join)} {' '.join(words)}{tail}"
+                else:
+                    done.append((join, repaired, words, body))
+                    join = tail
+        while (repaired := self._repaired(done, join, None)) is None:
+            join = self._taken_in(done, join)
+        return b"".join([x for _, before, _, body in done for x in (before, body)] + [repaired])
+
+    @staticmethod
+    def _taken_in(done: list[tuple], join: str) -> str:
+        """The join with the body before it and the join before that."""
+        if not done:
+            return join
+        before, _, words, _ = done.pop()
+        return f"{before} {' '.join(words)}{join}"
+
+    def _repaired(self, done: list[tuple], join: str, lead: str | None) -> bytes | None:
+        """Packed ids of a join encoded together with the words on its sides, without theirs; None if these come out otherwise."""
+        trail = done[-1][2][-1] if done else None
+        left, right = (self._word(w) if w is not None else b"" for w in (trail, lead))
+        packed = self.plain((f" {trail}" if done else "") + join + (f" {lead}" if lead is not None else ""))
+        agree = len(packed) >= len(left) + len(right) and packed.startswith(left) and packed.endswith(right)
+        return packed[len(left) : len(packed) - len(right)] if agree else None
+
+    def _word(self, word: str) -> bytes:
+        self.learn([word])
+        return self.words[word]
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.width)
