@@ -18,6 +18,8 @@ from .suffix_repeats import remove_repeats
 from .warc import build_derivatives, responses_of
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Target weights of the sources in packed windows: the large source less than its share of all tokens, the others alike.
+MIXTURE = {"src0": 8.0} | {f"src{i}": 1.0 for i in range(1, 20)}
 
 
 def tokenizer_path() -> str:
@@ -35,7 +37,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1, weights=MIXTURE)
 
 
 def op4_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def linked(rows, k, percent):
 def test_join_matches_brute_force(spark, monkeypatch, k, percent, seed):
     import lumenfold.llm.shingle_join as m
 
-    for name, v in (("GROUP", 3), ("OTHERS", 4), ("ASKING", 3), ("BUFFER", 4000)):
+    for name, v in (("GROUP", 3), ("OTHERS", 4), ("ASKING", 3), ("BUFFER", 4000), ("COUNTED", 5)):
         monkeypatch.setattr(m, name, v)
     rows = near_copies(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(frame(spark, rows), k, percent).collect()}
@@ -171,7 +171,8 @@ def without_repeats(rows, length=100):
 def test_repeats_match_brute_force(spark, monkeypatch, seed, piece, buffer):
     import lumenfold.llm.suffix_repeats as m
 
-    monkeypatch.setattr(m, "BUFFER", buffer)
+    for name, v in (("BUFFER", buffer), ("COMBINE", 8 * buffer), ("MANY_FROM", 1 + seed)):
+        monkeypatch.setattr(m, name, v)
     r = random.Random(seed)
     passages = [words_of(r, n) for n in (8, 20, 25, 40, 70)] + ["é" * 90, "ab" * 140, "x" * 230]
     rows = []

@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -133,5 +135,61 @@ def test_weights_order_the_windows(spark):
     check_pieces(rows, docs, 32)
 
 
+def test_every_window_of_many_parts_is_at_its_targets(spark):
+    docs = [(i, "ba " * 200, "ab"[i % 2]) for i in range(120)] + [(500 + i, "do " * 40, None) for i in range(6)]
+    length, part_tokens = 32, 1500
+    rows = pack(documents(spark, docs), PATH, length=length, weights={"a": 3, "b": 1, "absent": 5}, part_tokens=part_tokens).collect()
+    check_pieces(rows, docs, length)
+    n = collections.Counter()
+    for x in rows:
+        n["ab"[x["doc_id"] % 2] if x["doc_id"] < 500 else "rest"] += x["length"]
+    parts = -(-sum(n.values()) // part_tokens)
+    mixed = n["a"] / 0.75 / (sum(n.values()) / parts)  # parts until the wanted mixture runs out
+    windows = collections.defaultdict(collections.Counter)
+    for x in rows:
+        windows[x["sequence_id"] >> 32, (x["sequence_id"] & 0xFFFFFFFF) // 32]["ab"[x["doc_id"] % 2] if x["doc_id"] < 500 else "rest"] += x["length"]
+    assert len({p for p, _ in windows}) == parts > 12
+    for (part, _), c in windows.items():
+        if part + 1 <= mixed:
+            assert abs(c["a"] - 0.75 * sum(c.values())) <= 3 and not c["rest"]
+    last = (n["a"] + n["b"]) / (sum(n.values()) / parts)
+    assert all(not c["rest"] for (part, _), c in windows.items() if part + 1 <= last)
+
+
+def test_more_parts_than_a_source_has_tokens(spark):
+    docs = [(i, "ba " * 300, "a") for i in range(40)] + [(900, "do", "tiny"), (901, None, "tiny")]
+    for weights in (None, {"tiny": 1, "a": 1}):
+        check_pieces(pack(documents(spark, docs), PATH, length=16, weights=weights, part_tokens=200).collect(), docs, 16)
+
+
+LONG_RUNS = [" " * 1_300_000, "\n" * 1_200_000 + "x", "a" + "\t" * 1_100_000 + "b c d", "x y" + " \n" * 4000 + "z"]
+
+
+def test_long_runs_of_white_space(spark):
+    docs = [(i, t, "s") for i, t in enumerate(LONG_RUNS)]
+    want = {i: LIBRARY.encode(t, add_special_tokens=False).ids for i, t, _ in docs}
+    for r in transcode(documents(spark, docs), PATH, ("ids", "decoded")).collect():
+        assert r["ids"] == want[r["doc_id"]] and r["decoded"] == LONG_RUNS[r["doc_id"]]
+    assert sum(x["length"] for x in pack(documents(spark, docs), PATH).collect()) == sum(len(x) + 1 for x in want.values())
+
+
+def test_joins_take_in_bodies_until_tokens_agree():
+    c = Codec(Path(PATH).read_text(encoding="utf-8"))
+    text = " ".join(f"word{i} again" for i in range(2000))
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert c.ids(c.encode_chunked(text)).tolist() == want
+    for key, (head, words, body, tail) in list(c.chunks.items())[::3]:  # words that are said to come out otherwise
+        if len(words) > 2:
+            c.chunks[key] = (head, [*words[:-2], f"{words[-2]} {words[-1]}"], body, tail)
+    assert c.ids(c.encode_chunked(text)).tolist() == want
+
+
+def test_other_kinds_of_tokenizer_files_are_refused():
+    spec = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    with pytest.raises(ValueError):
+        Codec(json.dumps(spec))
+
+
 def test_tails_are_powers_of_two():
     assert tail_lengths(2048 * 2 + 11, 2048).tolist() == [2048, 2048, 8, 2, 1]
