@@ -54,23 +54,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Settings of the jobs that write intermediate tables: Spark removes an execution's shuffle files when the execution ends
+#: (else they stay until the driver's garbage is collected), and long texts reach the Python workers a few at a time.
+JOBS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 @contextlib.contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Within it, Spark removes an execution's shuffle files when the execution ends; else they stay until the driver's garbage is collected."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Within it the session has the wanted settings, afterwards its own."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
+    with settings(spark, JOBS):
         df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path

@@ -189,7 +189,8 @@ def _describe(words: int, buffer: int):
     return run
 
 
-_KEYS = "key long, sid long, tag int, drop int"
+#: info holds how many keys the set gives up (high half) and its tag with the class of the key (0 or 1) as the last bit.
+_KEYS = "key long, sid long, info long"
 
 
 def _emit_keys(words: int, percent: int, buffer: int):
@@ -206,20 +207,22 @@ def _emit_keys(words: int, percent: int, buffer: int):
                 once = np.sort(once)
                 n = np.diff(at)[once]
                 key, owner, up, drop = keys_of(kept, np.r_[0, np.cumsum(n)].astype(np.int64), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[once][owner]), pa.array((tag[once][owner].astype(np.int64) << 1 | up).astype(np.uint32).view(np.int32)), pa.array(drop.astype(np.int32))], ["key", "sid", "tag", "drop"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[once][owner]), pa.array(drop.astype(np.int64) << 32 | tag[once][owner].astype(np.int64) << 1 | up)], ["key", "sid", "info"])
 
     return run
 
 
 def _counted(most: int):
-    """Over rows sorted by (key, sid, tag): the rows of keys that several sets hold, once each, with the number of sets, at most most."""
+    """Over rows sorted by (key, sid, info): the rows of keys that several sets hold, once each, with the number of sets, at most most."""
 
     def run(batches):
-        held: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
         endless = None  # a key of most sets or more: its further rows go out at once
 
         def batch(cols, often):
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(often.astype(np.int32))], ["key", "sid", "tag", "drop", "often"])
+            key, sid, info = cols
+            tag, drop = (info & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (info >> 32).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*map(pa.array, (key, sid, tag, drop)), pa.array(often.astype(np.int32))], ["key", "sid", "tag", "drop", "often"])
 
         def settled(cols):
             """Whole keys."""
@@ -229,7 +232,7 @@ def _counted(most: int):
             return batch([x[several] for x in cols], np.minimum(often[several], most))
 
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            cols = [b.column(i).to_numpy() for i in range(3)]
             if endless is not None and len(cols[0]):
                 more = int(np.argmax(cols[0] != endless)) if (cols[0] != endless).any() else len(cols[0])
                 yield batch([x[:more] for x in cols], np.full(more, most))
@@ -368,7 +371,7 @@ def similar_documents(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     # a set's node is the smallest row that has it
     nodes = materialize(rows.filter("n > 0").groupBy("sid", "tag").agg(F.min("row").alias("node"), F.first("n").alias("n")), "join-nodes")
     emitted = named.mapInArrow(_emit_keys(words, percent, BUFFER), _KEYS)
-    counted = materialize(emitted.repartition("key").sortWithinPartitions("key", "sid", "tag").mapInArrow(_counted(COUNTED), f"{_KEYS}, often int"), "join-counted")
+    counted = materialize(emitted.repartition("key").sortWithinPartitions("key", "sid", "info").mapInArrow(_counted(COUNTED), "key long, sid long, tag int, drop int, often int"), "join-counted")
     rank = F.row_number().over(Window.partitionBy("sid", "tag").orderBy(F.col("often").desc(), "key"))
     rare = counted.withColumn("rank", rank).filter(F.col("rank") > F.col("drop")).select("key", "sid", F.shiftrightunsigned(F.col("tag"), 1).alias("tag"))
     rare = rare.hint("merge").join(nodes.select("sid", "tag", "node"), ["sid", "tag"]).select("key", "node")
