@@ -1,11 +1,13 @@
 """Approximate nearest neighbours with a hash-prefix forest (LSH Forest: Bawa, Condie and Ganesan, 2005).
 
-Every tree gives each vector a string of 64 hash bits, signs of random projections of the centred vector, and keeps the
-strings as a sorted array. A query descends each tree to its longest matching prefix by binary search, then all trees
-ascend together, one bit at a time, until enough different candidates share the prefix; those get exact distances.
-
-Rows are dealt by id hash into blocks of bounded size, each with a forest of its own, and queries into chunks; a cell
-(block, chunk) builds the forest once and answers its queries. Every row is indexed; nothing is fitted but the centre.
+Every tree gives each vector a string of SYMBOLS symbols: the vertex of a cross-polytope that a random projection of the
+centred vector points to (Andoni et al., 2015), one projection for each symbol. A tree is a sorted array of these strings
+in runs: strings that share their first symbols, as many symbols as keep a run small, and a large run in parts. A query
+meets one run of each tree. There it descends to its longest matching prefix by binary search; then all trees ascend
+together, one symbol at a time, until they hold enough candidates, counted over all runs. Only the blocks of vectors that
+hold candidates of a query are asked for exact distances.
+
+The strings carry no vectors, so the forest costs 16 bytes a tree and row, and the work grows with the candidates.
 """
 
 from __future__ import annotations
@@ -15,96 +17,203 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_of, finite_vectors, matrix, operator, top_rows
+from .common import chunk_of, finite_vectors, fresh, materialize, matrix, operator, top_rows
 
-TREES, BITS, CANDIDATES, BLOCK_ROWS, CHUNK_ROWS = 16, 64, 16384, 16384, 2048
-OUT = "query_id long, vec_id long, score double"
+#: Trees, and candidates for each neighbour wanted at which the ascent stops.
+TREES, CANDIDATES = 40, 200
+#: Symbols of a string, bits of a symbol: a sign and one of 64 axes.
+SYMBOLS, BITS = 9, 7
+#: Rows of a run or of a part of one, vectors of a block, queries that one task takes for a block.
+RUN_ROWS, BLOCK_ROWS, CHUNK_ROWS = 1 << 16, 16384, 4096
+#: Rows hashed at a time; lengths of vectors that are centred (of others the hashes are less even, no more).
+HASHED, CENTRED = 4096, 64
+_SHIFT = BITS * SYMBOLS
 
 
 class Forest:
-    """Sorted arrays of hash strings, one for each tree, over the different vectors of a block."""
-
-    def __init__(self, x: np.ndarray, ids: np.ndarray, trees: int, seed: int):
-        self.distinct, inverse = np.unique(x, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([inverse.ravel(), ids], axis=1), axis=0)  # a repeated row counts once
-        self.ids, self.start = pairs[:, 1], np.r_[0, np.cumsum(np.bincount(pairs[:, 0], minlength=len(self.distinct)))]
-        self.most = int(np.unique(pairs[:, 1], return_counts=True)[1].max())  # different vectors of one id
-        self.centre = self.distinct.mean(axis=0)
-        self.planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1], BITS))
-        hashes = self.hash(self.distinct)
-        self.order = np.argsort(hashes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(hashes, self.order, axis=1)
+    """The hash functions of the trees for vectors of one length."""
+
+    def __init__(self, dim: int, trees: int, seed: int):
+        axes = 1 << (BITS - 1)
+        self.planes = np.random.default_rng([seed, dim]).standard_normal((trees, SYMBOLS, dim, axes)).astype(np.float32)
 
     def hash(self, x: np.ndarray) -> np.ndarray:
-        """(trees, rows) hash strings, first bit highest."""
-        shift = np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-        centred = x - self.centre
-        return np.stack([((centred @ p > 0).astype(np.uint64) << shift).sum(axis=1, dtype=np.uint64) for p in self.planes])
-
-    def candidates(self, q: np.ndarray, want: int) -> list[np.ndarray]:
-        """For each query positions of different vectors: the largest prefix length at which all trees together hold enough."""
-        h, n = self.hash(q), len(q)
-        lo, hi = np.zeros((len(h), n), np.int64), np.full((len(h), n), self.sorted.shape[1], np.int64)
-        live = np.arange(n)
-        for length in range(BITS, 0, -1):  # synchronous ascent
-            tail = np.uint64((1 << (BITS - length)) - 1)
-            total = np.zeros(len(live), np.int64)
-            for t, keys in enumerate(self.sorted):
-                low = h[t, live] & ~tail
-                lo[t, live], hi[t, live] = np.searchsorted(keys, low, "left"), np.searchsorted(keys, low | tail, "right")
-                total += hi[t, live] - lo[t, live]
-            live = live[total < want]
-            if not len(live):
-                break
-        lo[:, live], hi[:, live] = 0, self.sorted.shape[1]
-        return [np.unique(np.concatenate([self.order[t, lo[t, i] : hi[t, i]] for t in range(len(h))])) for i in range(n)]
-
-    def nearest(self, qi: np.ndarray, q: np.ndarray, k: int, want: int):
-        """(query position, id, distance) of the k nearest candidates of each query, each id once."""
-        found, least = [], (k + 1) * self.most  # so many vectors have k + 1 ids
-        for i, c in enumerate(self.candidates(q, want)):
-            d = np.sqrt(((self.distinct[c] - q[i]) ** 2).sum(axis=1))
-            if len(c) > least:
-                c = c[d <= (cut := np.partition(d, least - 1)[least - 1])]
-                d = d[d <= cut]
-            for p, s in zip(c, d, strict=True):  # of equal vectors the k + 1 smallest ids are enough
-                found += [(i, v, s) for v in self.ids[self.start[p] : min(self.start[p + 1], self.start[p] + k + 1)] if v != qi[i]]
-        g, v, s = (np.array(z, t) for z, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
-        by = np.lexsort((s, v, g))
-        by = by[np.r_[True, (g[by][1:] != g[by][:-1]) | (v[by][1:] != v[by][:-1])]] if len(by) else by
-        g, v, s = g[by], v[by], s[by]
-        best = top_rows(g, s, v, k)
-        return g[best], v[best], s[best]
+        """(trees, rows) strings, first symbol highest."""
+        scale = np.abs(x).max(axis=1, keepdims=True)
+        x = (x / np.where(scale > 0, scale, 1)).astype(np.float32)
+        rows, out = np.arange(len(x)), np.zeros((len(self.planes), len(x)), np.int64)
+        for tree, planes in zip(out, self.planes, strict=True):
+            for plane in planes:
+                p = x @ plane
+                axis = np.abs(p).argmax(axis=1)
+                tree[:] = tree << BITS | axis << 1 | (p[rows, axis] > 0)
+        return out
+
+
+def _strings(trees: int, seed: int, centres):
+    def run(batches):
+        forests: dict[int, Forest] = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            dims = t.column("dim").to_numpy()
+            for d in np.unique(dims):
+                own = t.filter(pa.array(dims == d))
+                forest = forests.get(d) or forests.setdefault(d, Forest(int(d), trees, seed)) if len(forests) < 4 else Forest(int(d), trees, seed)
+                for at in range(0, len(own), HASHED):
+                    part = own.slice(at, HASHED)
+                    h = forest.hash(matrix(part, "v") - centres.value.get(int(d), 0.0))
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(h.size, d, np.int32)), pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(h.ravel()), pa.array(np.tile(part.column("node").to_numpy(), trees))], ["dim", "tree", "h", "node"])
+
+    return run
+
+
+def centres_of(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each of the CENTRED most frequent lengths: so many vectors at most come to the driver."""
+    lengths = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").limit(CENTRED).collect()
+
+    def sums(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            dims = t.column("dim").to_numpy()
+            for d in np.unique(dims):
+                found[int(d)] = found.get(int(d), 0.0) + matrix(t.filter(pa.array(dims == d)), "v").sum(axis=0)
+        for d, s in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(s)], ["dim", "i", "s"])
+
+    counts = {r["dim"]: r["n"] for r in lengths}
+    rows = vectors.filter(F.col("dim").isin(list(counts))).mapInArrow(sums, "dim int, i int, s double").groupBy("dim", "i").agg(F.sum("s").alias("s")).orderBy("dim", "i").toPandas()
+    found = {int(d): part["s"].to_numpy() / counts[int(d)] for d, part in rows.groupby("dim")}
+    return {d: c for d, c in found.items() if np.isfinite(c).all()}
+
+
+def bounds(keys: np.ndarray, h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings that share their first level symbols with each h begin and end in the sorted array keys."""
+    rest = _SHIFT - BITS * level
+    low = h >> rest << rest
+    return np.searchsorted(keys, low, "left"), np.searchsorted(keys, low + ((1 << rest) - 1), "right")
+
+
+def _count(base: int):
+    def run(strings: pa.Table, asked: pa.Table) -> pa.Table:
+        """How many strings of a run share the first symbols with each query, for each number of symbols."""
+        keys, h, q = np.sort(strings.column("h").to_numpy()), asked.column("h").to_numpy(), asked.column("query").to_numpy()
+        out = [(level, *bounds(keys, h, level)) for level in range(base, SYMBOLS + 1)]
+        return pa.table({"query": np.tile(q, len(out)), "level": np.repeat(np.array([x[0] for x in out], np.int32), len(q)), "n": np.concatenate([high - low for _, low, high in out]).astype(np.int64)})
+
+    return run
+
+
+def _candidates(blocks: int):
+    def run(strings: pa.Table, asked: pa.Table) -> pa.Table:
+        """The nodes of a run that share as many symbols with each query as its level says, by block."""
+        order = np.argsort(strings.column("h").to_numpy(), kind="stable")
+        keys, nodes, block = (strings.column(x).to_numpy()[order] for x in ("h", "node", "block"))
+        out = {"block": [], "query": [], "nodes": []}
+        h, levels = asked.column("h").to_numpy(), asked.column("level").to_numpy()
+        low, high = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for level in np.unique(levels):
+            own = levels == level
+            low[own], high[own] = bounds(keys, h[own], int(level))
+        for q, i, j in zip(asked.column("query").to_pylist(), low, high, strict=True):
+            by = np.argsort(block[i:j], kind="stable")
+            of, found = block[i:j][by], nodes[i:j][by]
+            if not len(of):
+                continue
+            cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for a, z in zip(cut, np.r_[cut[1:], len(of)], strict=True):
+                out["block"].append(int(of[a]))
+                out["query"].append(q)
+                out["nodes"].append(found[a:z].tobytes())
+        return pa.table({"block": pa.array(out["block"], pa.int32()), "query": pa.array(out["query"], pa.int64()), "nodes": pa.array(out["nodes"], pa.binary())})
+
+    return run
+
+
+def _nearest(k: int):
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        """The nodes of a block with the k smallest distances to each query, and all as near as the last, by id."""
+        empty = {"query": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "score": np.zeros(0)}
+        found = [empty]
+        if len(vectors) and len(asked):
+            dims, node = vectors.column("dim").to_numpy(), vectors.column("node").to_numpy()
+            of_dim = {}
+            for d in np.unique(dims):
+                own = np.flatnonzero(dims == d)
+                own = own[np.argsort(node[own])]
+                of_dim[d] = node[own], matrix(vectors.take(pa.array(own)), "v")
+            for q, d, v, lists in zip(*(asked.column(x).to_pylist() for x in ("query", "dim", "v", "lists")), strict=True):
+                if d not in of_dim:
+                    continue
+                names, x = of_dim[d]
+                if lists:
+                    at = np.searchsorted(names, np.unique(np.frombuffer(b"".join(lists), np.int64)))
+                    names, x = names[at], x[at]
+                s = np.sqrt(((x - np.array(v, float)) ** 2).sum(axis=1))
+                keep = np.flatnonzero(s <= np.partition(s, k - 1)[k - 1]) if len(s) > k else np.arange(len(s))
+                found.append({"query": np.full(len(keep), q, np.int64), "node": names[keep], "score": s[keep]})
+        return pa.table({x: np.concatenate([f[x] for f in found]) for x in empty})
+
+    return run
 
 
 @operator
 def nearest_neighbours(df: DataFrame, is_query, k: int = 10, trees: int = TREES, candidates: int = CANDIDATES, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the Column is_query picks the k nearest other rows found.
 
-    score: Euclidean distance in double precision; ties to the smaller id. Copies of a vector are hashed once and do
-    not crowd out other candidates. Defined cases: rows with a null id, null, empty or zero vector, or null or
-    non-finite components take no part; vectors of different lengths are not compared; a query's own id is never its
-    candidate; of rows with one id and one vector one counts, of an id's several vectors the nearest; fewer than k candidates give fewer rows.
+    score: Euclidean distance in double precision; ties to the smaller id. The ascent stops at candidates * (k + 1)
+    candidates, counted in all trees, or takes whole runs; a query whose runs hold fewer than k + 1 is held against all
+    rows. Equal vectors are one node with its k + 1 smallest ids and do not crowd out other candidates. Defined cases:
+    rows with a null id, null, empty or zero vector, or null or non-finite components take no part; vectors of different
+    lengths are not compared; a query's own id is never its candidate; of rows with one id and one vector one counts, of
+    an id's several vectors the nearest, and of a query's several vectors the smallest is asked for; fewer than k
+    candidates give fewer rows.
     """
     spark = df.sparkSession
     some = F.exists("v", lambda x: x != 0)
-    vectors = finite_vectors(df, id_col, vector_col).filter(some).dropDuplicates(["id", "v"])
-    queries = finite_vectors(df.filter(F.coalesce(is_query, F.lit(False))), id_col, vector_col).filter(some).dropDuplicates(["id"])
-    n = vectors.count()
+    wanted = finite_vectors(df, id_col, vector_col).filter(some)
+    members = wanted.select("v", "dim", "id").distinct()
+    members = members.withColumn("turn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("turn") <= k + 1)
+    members = materialize(members.withColumn("node", F.monotonically_increasing_id()), "forest-members")
+    # equal vectors: the node of the first of their ids
+    firsts = members.filter("turn = 1").select("node", "v", "dim")
+    n = firsts.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-queries.count() // CHUNK_ROWS))
-
-    def search(t: pa.Table, u: pa.Table) -> pa.Table:
-        if not len(t) or not len(u):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qi = u.column("id").to_numpy()
-        i, v, s = Forest(matrix(t, "v"), t.column("id").to_numpy(), trees, seed).nearest(qi, matrix(u, "v"), k, candidates)
-        return pa.table({"query_id": qi[i], "vec_id": v, "score": s})
-
-    keys = ["dim", "block", "chunk"]
-    rows = vectors.withColumn("block", chunk_of(F.col("id"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.withColumn("chunk", chunk_of(F.col("id"), chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, OUT).dropDuplicates(["query_id", "vec_id"])
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ids = materialize(members.filter("turn = 1").select("v", "node").hint("merge").join(members.select("v", "id"), "v").select("node", "id"), "forest-ids")
+    queries = finite_vectors(df.filter(F.coalesce(is_query, F.lit(False))), id_col, vector_col).filter(some)
+    queries = materialize(queries.groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("query"), "v", F.size("v").alias("dim")), "forest-queries")
+    blocks, base, want = -(-n // BLOCK_ROWS), 0, candidates * (k + 1)
+    while base < SYMBOLS and n >> (BITS * base) > RUN_ROWS:
+        base += 1
+    centres = spark.sparkContext.broadcast(centres_of(firsts))
+    block = chunk_of(F.col("node"), blocks).alias("block")
+    run = F.shiftright("h", _SHIFT - BITS * base) if base else F.lit(0).cast("long")
+    schema = "dim int, tree int, h long, node long"
+    strings = materialize(firsts.select("dim", "node", "v").mapInArrow(_strings(trees, seed, centres), schema).withColumn("run", run), "forest-strings")
+    asked = queries.select("dim", F.col("query").alias("node"), "v").mapInArrow(_strings(trees, seed, centres), schema).withColumn("run", run).withColumnRenamed("node", "query")
+    asked = materialize(asked, "forest-asked")
+    keys = ["dim", "tree", "run"]
+    large = materialize(strings.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(RUN_ROWS)).cast("int").alias("parts")).filter("parts > 1"), "forest-large")
+    parted = strings.join(large, keys, "left").select(*keys, "h", "node", block, F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    met = asked.join(large, keys, "left").select(*keys, "h", "query", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    by = [*keys, "part"]
+    counts = fresh(parted).groupBy(*by).cogroup(fresh(met).groupBy(*by)).applyInArrow(_count(base), "query long, level int, n long")
+    counts = counts.groupBy("query", "level").agg(F.sum("n").alias("n"))
+    levels = counts.groupBy("query").agg(F.max(F.when(F.col("n") >= want, F.col("level"))).alias("enough"), F.max("n").alias("most"))
+    # synchronous ascent: the longest prefix with enough candidates in all trees together; -1 stands for all rows
+    levels = queries.select("query").join(levels, "query", "left").select("query", F.when(F.coalesce("most", F.lit(0)) <= k * trees, F.lit(-1)).otherwise(F.coalesce("enough", F.lit(base))).alias("level"))
+    levels = materialize(levels, "forest-levels")
+    found = fresh(parted).groupBy(*by).cogroup(fresh(met.join(levels.filter("level >= 0"), "query")).groupBy(*by)).applyInArrow(_candidates(blocks), "block int, query long, nodes binary")
+    lists = found.groupBy("block", "query").agg(F.collect_list("nodes").alias("lists"))
+    everywhere = levels.filter("level < 0").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query", F.array().cast("array<binary>").alias("lists"))
+    visits = materialize(lists.unionByName(everywhere), "forest-visits")
+    loads = materialize(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("turns")), "forest-loads")
+    cells = ["block", "turn"]
+    left = firsts.select("node", "v", "dim", block).join(loads, "block").select("node", "v", "dim", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    right = visits.join(loads, "block").join(queries, "query").select("block", F.pmod(F.xxhash64("query", F.lit(6)), F.col("turns")).cast("int").alias("turn"), "query", "dim", "v", "lists")
+    near = fresh(left).groupBy(*cells).cogroup(fresh(right).groupBy(*cells)).applyInArrow(_nearest(k + 1), "query long, node long, score double")
+    pairs = near.join(ids, "node").filter(F.col("id") != F.col("query")).groupBy("query", "id").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("query").orderBy("score", "id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm.inner_product import search_cell, top_k_inner_product
-from lumenfold.llm.prefix_forest import Forest, nearest_neighbours
+from lumenfold.llm.prefix_forest import bounds, nearest_neighbours
 
 NAN, INF = float("nan"), float("inf")
 
@@ -58,27 +58,51 @@ def test_forest_against_brute_force(spark):
     assert hit / total >= 0.9 and not {r["query_id"] for r in got} & {1000, 1050, 1100, 1200, 1300, 1400}
 
 
-def test_forest_recall_on_clustered_rows():
+def test_forest_prunes_in_small_runs_and_blocks(spark, monkeypatch):
+    import lumenfold.llm.prefix_forest as m
+
+    for name, v in (("RUN_ROWS", 8), ("BLOCK_ROWS", 500), ("CHUNK_ROWS", 7), ("HASHED", 100)):
+        monkeypatch.setattr(m, name, v)
+    seen = {}
+    monkeypatch.setattr(m, "materialize", lambda df, label, f=m.materialize: seen.setdefault(label, f(df, label)))
     r = np.random.default_rng(1)
-    x = (r.normal(size=(40, 64))[r.integers(0, 40, 4000)] + r.normal(size=(4000, 64)) * 0.4).astype(np.float32).astype(float)
-    f = Forest(x, np.arange(4000), 16, 11)
-    q = np.arange(0, 4000, 100)
-    g, ids, _ = f.nearest(q, x[q], 10, 2000)
-    d = np.sqrt(((x[q][:, None] - x[None]) ** 2).sum(2))
-    d[np.arange(len(q)), q] = 99
-    want = np.argsort(d, axis=1, kind="stable")[:, :10]
-    assert np.mean([len(set(ids[g == i]) & set(want[i])) / 10 for i in range(len(q))]) >= 0.9
+    x = (r.normal(size=(40, 16))[r.integers(0, 40, 2000)] + r.normal(size=(2000, 16)) * 0.2).astype(np.float32).astype(float)
+    x[0] = -50 * x[1:].mean(axis=0) + 90  # far from all, so its runs may be empty
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, F.col("vec_id") % 100 == 0, k=10, candidates=30).collect()
+    hit = 0
+    for q in range(0, 2000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = 1e9
+        mine = {g["rank"]: g["vec_id"] for g in got if g["query_id"] == q}
+        assert sorted(mine) == list(range(1, 11))
+        hit += len(set(np.argsort(d, kind="stable")[:10]) & set(mine.values()))
+    assert hit >= 0.9 * 200
+    read = seen["forest-visits"].selectExpr("query", "aggregate(transform(lists, x -> octet_length(x) / 8), 0D, (a, b) -> a + b) as n").groupBy("query").sum("n").collect()
+    assert np.median([x[1] for x in read]) < 2000 * 40 / 10
+
+
+def test_bounds_are_those_of_a_scan():
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 500) >> 20 << 20)
+    h = np.r_[keys[::50], np.random.default_rng(6).integers(0, 1 << 63, 20)]
+    for level in range(10):
+        low, high = bounds(keys, h, level)
+        assert (high - low == [(keys >> (63 - 7 * level) == q >> (63 - 7 * level)).sum() for q in h]).all() if level else (high - low == 500).all()
 
 
 def test_repeated_rows_take_no_places(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(60, 6))
-    once = Forest(x, np.arange(60), 16, 11).nearest(np.array([0]), x[:1], 10, 2000)
-    often = Forest(np.repeat(x, 12, axis=0), np.repeat(np.arange(60), 12), 16, 11).nearest(np.array([0]), x[:1], 10, 2000)
-    assert len(once[1]) == 10 and all((a == b).all() for a, b in zip(once, often, strict=True))
-    y = np.r_[x, x[1] + np.arange(1, 31)[:, None] * 1e-9]  # one id with 31 vectors, all near each other
-    _, ids, _ = Forest(y, np.r_[np.arange(60), np.ones(30, int)], 16, 11).nearest(np.array([0]), x[1:2], 10, 2000)
-    assert len(set(ids)) == 10 and ids[0] == 1
+    once = [(i, v.tolist()) for i, v in enumerate(x)]
+    more = [(1, (x[1] + (j + 1) * 1e-9).tolist()) for j in range(30)]  # one id with 31 vectors, all near each other
+    copies = [(100 + i, x[2].tolist()) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = (sorted(map(tuple, nearest_neighbours(frame(t), F.col("vec_id") % 25 == 0, k=10).collect())) for t in (once, once * 12))
+    assert got == want and len(want) == 30
+    ids = [g["vec_id"] for g in nearest_neighbours(frame(once + more), F.col("vec_id") == 0, k=10).collect()]
+    assert len(set(ids)) == 10
+    near = sorted((g["rank"], g["vec_id"], g["score"]) for g in nearest_neighbours(frame(once + copies), F.col("vec_id") == 2, k=10).collect())
+    assert [v for _, v, _ in near] == list(range(100, 110)) and all(s == 0 for _, _, s in near)
     df, _ = odd_vectors(spark, n=210)
     want, got = (sorted(map(tuple, nearest_neighbours(t, F.col("vec_id") % 25 == 0, k=10).collect())) for t in (df, df.unionByName(df)))
     assert got == want
