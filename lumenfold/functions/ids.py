@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prefix of each mission's catalog.
-PREFIXES = {"kepler": "KIC", "k2": "EPIC", "tess": "TIC"}
+PREFIXES = {"kepler": "KIC", "k2": "EPIC", "tess": "TIC", "vsx_tess": "TIC"}
 
 
 def with_mission(ident: Column, mission: Column) -> Column:
@@ -48,3 +48,9 @@ def declination_file(dec: Column) -> Column:
     low = F.floor(dec / 2) * 2
     side = lambda v: F.format_string("%02d_00%s", F.abs(v), F.when(v >= 0, "N").otherwise("S"))
     return F.concat(F.lit("tic_dec"), side(low), F.lit("__"), side(low + 2), F.lit(".csv.gz"))
+
+
+def needed_slices(df: DataFrame, slice_col: str, first: int | None = None) -> DataFrame:
+    """Rows that fall into the catalog slices in use, or into the first of them by name."""
+    names = df.select(slice_col).distinct()
+    return df.join(names.orderBy(slice_col).limit(first) if first is not None else names, slice_col, "left_semi")

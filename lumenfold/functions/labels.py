@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,25 @@ TARGET_CLASSES = list(CLASS_LABELS)
 
 # Groups of the first token of a catalog label.
 TOKEN_GROUPS = {
-    "RR_Lyrae": "RRAB RRC RRD RR", "Delta_Scuti": "DSCT DSCTC HADS", "Gamma_Dor": "GDOR", "Beta_Cep": "BCEP SPB", "EA": "EA", "EB": "EB", "EW": "EW", "RS_CVn": "RS", "Rotational": "ROT", "ACV": "ACV", "BY_Dra": "BY",
-    "Irregular": "VAR MISC LPV LC SRA SR SRB SRD SRS", "ZZ_Ceti": "ZZA", "White_Dwarf": "WD", "Cataclysmic": "CV UG UGZ UGWZ UGSU", "Cepheid": "CWB DCEP ACEP", "Eclipsing": "ED ESD EP EC", "UNKNOWN": "UNKNOWN",
-}
+    "RR_Lyrae": ["RRAB", "RRC", "RRD", "RR"],
+    "Delta_Scuti": ["DSCT", "DSCTC", "HADS"],
+    "Gamma_Dor": ["GDOR"],
+    "Beta_Cep": ["BCEP", "SPB"],
+    "EA": ["EA"],
+    "EB": ["EB"],
+    "EW": ["EW"],
+    "RS_CVn": ["RS"],
+    "Rotational": ["ROT"],
+    "ACV": ["ACV"],
+    "BY_Dra": ["BY"],
+    "Irregular": ["VAR", "MISC", "LPV", "LC", "SRA", "SR", "SRB", "SRD", "SRS"],
+    "ZZ_Ceti": ["ZZA"],
+    "White_Dwarf": ["WD"],
+    "Cataclysmic": ["CV", "UG", "UGZ", "UGWZ", "UGSU"],
+    "Cepheid": ["CWB", "DCEP", "ACEP"],
+    "Eclipsing": ["ED", "ESD", "EP", "EC"],
+    "UNKNOWN": ["UNKNOWN"],
+}
 
 # The plain map of a merged catalog, and a short map of published abbreviations.
 MERGE_MAP = {
@@ -49,42 +66,42 @@ def _inverse(groups: dict[str, list[str]]) -> dict[str, str]:
     return {raw: name for name, raws in groups.items() for raw in raws}
 
 
-def resolver():
-    """A function from a raw label to its class: exact, else by parts of a compound, else without blanks and dashes."""
-    exact = _inverse(CLASS_LABELS)
-    squeeze = str.maketrans("", "", " -_")
-    tight: dict[str, str] = {}
-    for raw, name in exact.items():
-        tight.setdefault(raw.translate(squeeze), name)
-    order, marks = {c: i for i, c in enumerate(PREFERENCE)}, SEPARATORS
+def _literal_map(pairs: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
-    def resolve(label) -> str:
-        if not isinstance(label, str) or not label.strip():
-            return "Unknown"
-        key = " ".join(label.strip().upper().replace("-", " ").replace("_", " ").split())
-        if key in exact:
-            return exact[key]
-        for mark in marks:
-            if mark in key:
-                known = {resolve(part) for part in key.split(mark)} - {"Unknown"}
-                if known:
-                    return min(known, key=order.__getitem__)
-        return tight.get(key.translate(squeeze), "Unknown")
 
-    return resolve
+def _class_number(key: Column, marks: str, exact: Column, tight: Column) -> Column:
+    """Place in PREFERENCE of a cleaned label's class, null without one: the label itself, else the preferred class among
+    its parts at the first mark (these may have the later marks), else the label without blanks, dashes and underscores."""
+    squeezed = tight[F.translate(key, " -_", "")]
+    if not marks:
+        return F.coalesce(exact[key], squeezed)
+    whole = _class_number(key, marks[1:], exact, tight)
+    parts = F.transform(F.split(key, f"[{marks[0]}]"), lambda part: _class_number(F.trim(part), marks[1:], exact, tight))
+    return F.coalesce(exact[key], F.when(key.contains(marks[0]), F.array_min(F.array_compact(parts))).otherwise(whole), squeezed)
 
 
 def normalize_labels(df: DataFrame, raw: str, out: str) -> DataFrame:
     """df with out, the class of raw. Only different labels are resolved; they join back on the label."""
-    resolve = resolver()
-
-    def run(parts):
-        for p in parts:
-            yield pd.DataFrame({"_raw": p["_raw"], out: [resolve(x) for x in p["_raw"]]})
-
-    known = df.select(F.col(raw).cast("string").alias("_raw")).filter("_raw is not null").distinct().mapInPandas(run, f"_raw string, `{out}` string")
-    joined = df.join(known, F.col(raw).cast("string") == F.col("_raw"), "left").drop("_raw")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.lit("Unknown")))
+    place = {name: i for i, name in enumerate(PREFERENCE)}
+    exact = {label: place[name] for label, name in _inverse(CLASS_LABELS).items()}
+    tight: dict[str, int] = {}
+    for label, number in exact.items():
+        tight.setdefault(re.sub("[ _-]", "", label), number)
+    text = F.col(raw).cast("string")
+    key = F.trim(F.regexp_replace(F.translate(F.upper("_raw"), "-_", "  "), r"\s+", " "))
+    known = df.select(text.alias("_raw")).filter("_raw is not null").distinct().withColumns({"_key": key, "_exact": _literal_map(exact), "_tight": _literal_map(tight)})
+    number = _class_number(F.col("_key"), SEPARATORS, F.col("_exact"), F.col("_tight"))
+    known = known.select("_raw", F.get(F.array(*map(F.lit, PREFERENCE)), number).alias("_class"))
+    joined = df.drop(out).join(known, df[raw].cast("string") == F.col("_raw"), "left")
+    return joined.withColumn(out, F.coalesce("_class", F.lit("Unknown"))).drop("_raw", "_class")
+
+
+def fold_rare(df: DataFrame, label: str, least: int = 5, out: str | None = None, name: str = "RARE") -> DataFrame:
+    """Classes of fewer than least rows become name. Counts are aggregated first and join back, so no class meets in one task."""
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = df.join(counts, df[label].eqNullSafe(counts["_label"]))
+    return joined.withColumn(out or label, F.when(F.col("_n") < least, name).otherwise(F.col(label))).drop("_label", "_n")
 
 
 def label_coverage(df: DataFrame, raw: str) -> DataFrame:
@@ -99,7 +116,7 @@ def _lookup(key: Column, groups: dict[str, list[str]], default: Column) -> Colum
 def first_token_class(label: Column) -> Column:
     """Class of the first token of a label; tokens without a class stay as they are."""
     token = F.translate(F.split(F.upper(F.trim(label)), r"[|/+,:]")[0], "- ", "")
-    return F.when(label.isNull() | (F.trim(label) == ""), "UNKNOWN").otherwise(_lookup(token, {k: v.split() for k, v in TOKEN_GROUPS.items()} | {"UNKNOWN": ["UNKNOWN", ""]}, token))
+    return F.when(label.isNull() | (F.trim(label) == ""), "UNKNOWN").otherwise(_lookup(token, TOKEN_GROUPS | {"UNKNOWN": ["UNKNOWN", ""]}, token))
 
 
 def substring_class(label: Column) -> Column:

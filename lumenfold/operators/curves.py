@@ -35,7 +35,7 @@ def discard_reason(stats: DataFrame, min_points: int = MIN_POINTS, min_std: floa
     """Why a curve is left out, in fixed order, or ok."""
     scaled = F.greatest(F.abs(F.col("low") - F.col("q")[1]), F.abs(F.col("high") - F.col("q")[1]))
     out = F.when(F.col("label").isNull() | (F.col("label") == "Unknown"), "unknown_class") if has_label else F.when(F.lit(False), "unknown_class")
-    return out.when(F.col("n_finite") == 0, "all_nan").when(F.col("n") < min_points, "short_curve").when(F.col("std") < min_std, "low_std").when(~is_finite(scaled), "nan_or_inf_after_norm").otherwise("ok")
+    return out.when(F.col("n_finite") == 0, "all_invalid").when(F.col("n") < min_points, "short_curve").when(F.col("std") < min_std, "low_std").when(~is_finite(scaled), "nan_or_inf_after_norm").otherwise("ok")
 
 
 def curve_features(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -65,9 +65,14 @@ def to_sequences(df: DataFrame, key: str, order: list[str], value: str, length:
     return whole.select(key, pad(F.col("_values"), length).alias("sequence"), mask(F.col("_values"), length).alias("mask"))
 
 
-def scale_features(features: DataFrame, columns: list[str]) -> DataFrame:
-    """Each feature minus its median in interquartile ranges over all objects; what is not finite becomes 0."""
-    quartiles = features.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
+def scale_features(features: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Each feature minus its median in interquartile ranges over all objects; what is not finite becomes 0.
+
+    Exact quartiles meet every different value in one task; with accuracy (say 10,000) they are approximate within
+    1 / accuracy of the ranks, from sketches of fixed size, for very many objects."""
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartile = (lambda c: F.percentile(c, at)) if accuracy is None else (lambda c: F.percentile_approx(c, at, accuracy))
+    quartiles = features.agg(*(quartile(c).alias(f"_q_{c}") for c in columns))
     scaled = lambda c: (F.col(c) - F.col(f"_q_{c}")[1]) / (F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0] + F.lit(1e-8))
     joined = features.join(F.broadcast(quartiles), F.lit(True))  # one row
     return joined.select(*(c for c in features.columns if c not in columns), *(F.when(is_finite(scaled(c)), scaled(c)).otherwise(0.0).alias(c) for c in columns))
@@ -86,8 +91,10 @@ def first_label(df: DataFrame, key: str, label: str, order: list[str]) -> DataFr
 def length_distribution(df: DataFrame, key: str) -> DataFrame:
     """Distribution of the number of points of a curve."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    quantiles = F.percentile("n", F.array(*(F.lit(p) for p in (0.5, 0.75, 0.9, 0.95, 0.99))))
-    s = n.agg(F.count(F.lit(1)).alias("n_curves"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), quantiles.alias("q"), F.max("n").alias("max"))
+    moments = n.agg(F.count(F.lit(1)).alias("n_curves"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
+    often = n.groupBy("n").agg(F.count(F.lit(1)).alias("times"))  # few different lengths, whatever the number of curves
+    quantiles = often.agg(F.percentile("n", F.array(*(F.lit(p) for p in (0.5, 0.75, 0.9, 0.95, 0.99))), F.col("times")).alias("q"))
+    s = moments.join(quantiles, F.lit(True))  # one row each
     return s.select("n_curves", "mean", "std", "min", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 95, 99))), "max")
 
 

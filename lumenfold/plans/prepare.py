@@ -41,5 +41,6 @@ def prepare_curves(points: DataFrame, length: int, cap: int | None = None, overr
     curves = impute_median(kept.join(good.select("id"), "id", "left_semi"), "id", "value")
     sequences = to_sequences(normalize_robust(curves, "id", "imputed"), "id", ["time", "scaled"], "scaled", length)
     features = scale_features(curve_features(curves, "id", "value").drop("n"), FEATURES)
-    samples = encode_labels(good, "label").join(sequences, "id").join(features, "id")
-    return stratified_split(samples, "id", "label", into_train=reinforced), reasons
+    # ids are split alone: sequences are long and move once
+    split = stratified_split(encode_labels(good, "label"), "id", "label", into_train=reinforced)
+    return split.join(sequences, "id").join(features, "id").select("id", "label", "label_idx", "sequence", "mask", *FEATURES, "split"), reasons

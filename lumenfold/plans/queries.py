@@ -95,7 +95,7 @@ def curve_features(t):
 @query("""
     WITH x AS (SELECT l_partkey, p_type AS label, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
          s AS (SELECT l_partkey, min(CASE WHEN l_partkey % 13 = 0 THEN 'Unknown' ELSE label END) AS label, count(*) AS n, count(v) AS f, coalesce(stddev_pop(v), 0) AS sd FROM x GROUP BY l_partkey),
-         r AS (SELECT CASE WHEN label = 'Unknown' THEN 'unknown_class' WHEN f = 0 THEN 'all_nan' WHEN n < 30 THEN 'short_curve' WHEN sd < 1e-4 THEN 'low_std' ELSE 'ok' END AS status FROM s)
+         r AS (SELECT CASE WHEN label = 'Unknown' THEN 'unknown_class' WHEN f = 0 THEN 'all_invalid' WHEN n < 30 THEN 'short_curve' WHEN sd < 1e-4 THEN 'low_std' ELSE 'ok' END AS status FROM s)
     SELECT status, count(*) AS n FROM r GROUP BY status""")
 def curve_discard_reasons(t):
     part = t("part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 13 == 0, "Unknown").otherwise(F.col("p_type")).alias("label"))
@@ -252,7 +252,17 @@ def seeded_sample(t):
 
 @query(f"SELECT c_custkey, row_number() OVER (ORDER BY {_ORDER_SQL.format('c_custkey')}, c_custkey)::INTEGER AS pos FROM customer")
 def seeded_shuffle(t):
-    return V.rank_within(t("customer").select("c_custkey"), [F.lit(0)], [R.stable_order("c_custkey"), "c_custkey"]).withColumnRenamed("rank", "pos")
+    return R.stable_rank(t("customer").select("c_custkey"), "c_custkey", [], "pos").withColumn("pos", F.col("pos").cast("int"))
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type")
+def class_counts_in_order(t):
+    return R.counts_in_order(t("part"), "p_type")
+
+
+@query(f"SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_ORDER_SQL.format('o_orderkey')}, o_orderkey) AS r FROM orders) WHERE r <= 5")
+def preview_rows(t):
+    return R.preview(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -286,7 +296,7 @@ def label_coverage_report(t):
     return L.label_coverage(labelled(t), "raw")
 
 
-_TOKENS = {tok: name for name, toks in L.TOKEN_GROUPS.items() for tok in toks.split()}
+_TOKENS = {tok: name for name, toks in L.TOKEN_GROUPS.items() for tok in toks}
 _TOKEN_SQL = "replace(replace(split_part(regexp_replace(upper(trim(raw)), '[|/+,:]', '|', 'g'), '|', 1), '-', ''), ' ', '')"
 
 
@@ -297,8 +307,7 @@ def label_v1_first_token(t):
 
 @query("WITH n AS (SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_partkey, CASE WHEN n < 85 THEN 'RARE' ELSE p_brand END AS label_class FROM n")
 def rare_class_fold(t):
-    w = Window.partitionBy("p_brand")
-    return t("part").select("p_partkey", F.when(F.count(F.lit(1)).over(w) < 85, "RARE").otherwise(F.col("p_brand")).alias("label_class"))
+    return L.fold_rare(t("part").select("p_partkey", "p_brand"), "p_brand", 85, "label_class").select("p_partkey", "label_class")
 
 
 @query(f"""SELECT p_partkey, CASE WHEN x IN ('', 'UNKNOWN', ',') THEN 'UNKNOWN' WHEN contains(x, 'ROT') THEN 'Rotational' WHEN starts_with(x, 'RS') THEN 'RS_CVn' WHEN starts_with(x, 'BY') THEN 'BY_Dra' WHEN contains(x, 'DSCT') THEN 'Delta_Scuti' WHEN contains(x, 'RR') THEN 'RR_Lyrae'
@@ -378,8 +387,7 @@ def dec_bins(t):
 
 @query(f"WITH b AS (SELECT c_custkey, {_bin_sql('lo')} AS slice FROM (SELECT c_custkey, (floor(({_DEC_SQL}) / 2) * 2)::INTEGER AS lo FROM customer)) SELECT c_custkey, slice FROM b WHERE slice IN (SELECT DISTINCT slice FROM b ORDER BY slice LIMIT 10)")
 def needed_dec_bins(t):
-    b = dec_bins(t)
-    return R.only(b, b.select("slice").distinct().orderBy("slice").limit(10), "slice").select("c_custkey", "slice")
+    return I.needed_slices(dec_bins(t), "slice", 10).select("c_custkey", "slice")
 
 
 @query(f"SELECT c_custkey, {_s6('d', 'dec')} FROM (SELECT c_custkey, {_DEC_SQL} AS d FROM customer) WHERE d BETWEEN -20 AND 20")
@@ -693,6 +701,16 @@ def html_links(t):
     return t("pages").select("page_id", F.explode(readers.links(F.col("html"))).alias("link"))
 
 
+_ANCHORS = """concat('<p><a class="x" href="/variables/', {0}, '">V100</a> <a href="/variables/', {0}, '">other</a> <a href="/x">V100</a></p>')"""
+_UUID = "concat_ws('-', substr({0}, 1, 8), substr({0}, 9, 4), substr({0}, 13, 4), substr({0}, 17, 4), substr({0}, 21, 12))".format("md5(page_id::VARCHAR)")
+
+
+@query(f"SELECT page_id, unnest(regexp_extract_all({_ANCHORS.format(_UUID)}, '<a[^>]*href=\"(/variables/[0-9a-f-]{{36}})\"[^>]*>V100</a>', 1)) AS link FROM pages")
+def object_links(t):
+    pages = t("pages").select("page_id", F.expr(_ANCHORS.format(_UUID.replace("page_id::VARCHAR", "cast(page_id AS STRING)"))).alias("html"))
+    return pages.select("page_id", F.explode(readers.object_links(F.col("html"), "V100")).alias("link"))
+
+
 @query("SELECT page_id, 'ID' || page_id AS ident, (page_id + 0.5)::DOUBLE AS ra FROM pages")
 def cdata_csv(t):
     k = F.col("page_id")

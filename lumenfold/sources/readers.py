@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tarfile
-from pathlib import Path
+import fnmatch
+import re
 from typing import Protocol
 
+import pandas as pd
+import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +25,65 @@ def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = N
 
 
 def read_mixed(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files whose columns and types differ, under one resolved schema; corrupt files are passed over."""
-    reader = spark.read.option("ignoreCorruptFiles", "true")
+    """Files whose columns and types differ, under one resolved schema; corrupt files are passed over, see scan_report."""
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
     return unify([reader.parquet(p) for p in paths])
 
 
-def parquet_footers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, rows, row groups and columns of each file, from its footer; one row a file."""
-    rows = []
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path and bytes of every file below root whose name fits, empty ones too; from the file system's listing alone."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+    found, rows = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while found.hasNext():
+        f = found.next()
+        if fnmatch.fnmatch(f.getPath().getName(), glob):
+            rows.append((f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(rows, "path string, bytes long")
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without its scheme, as listings and scans spell schemes in different ways."""
+    return F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+
+
+def scan_report(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, bytes, n_rows, checksum and state of each Parquet file that read_mixed would read: valid, empty (no bytes) or
+    corrupt (not a row could be read). The checksum reads all columns, as damage may lie in any."""
+    reader, read, files = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true"), None, None
     for p in paths:
-        m = pq.read_metadata(p)
-        rows.append((p, m.num_rows, m.num_row_groups, m.num_columns))
-    return spark.createDataFrame(rows, "path string, n_rows long, n_row_groups long, n_columns long")
+        df = reader.parquet(p)
+        part = df.select(_plain_path(F.col("_metadata.file_path")).alias("_path"), F.xxhash64(*df.columns).alias("_x"))
+        listed = list_files(spark, p, "*.parquet")
+        read = part if read is None else read.unionByName(part)
+        files = listed if files is None else files.unionByName(listed)
+    counts = read.groupBy("_path").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("_x").alias("checksum"))
+    joined = files.distinct().join(counts, _plain_path(F.col("path")) == F.col("_path"), "left").drop("_path")
+    state = F.when(F.col("bytes") == 0, "empty").when(F.col("n_rows").isNull(), "corrupt").otherwise("valid")
+    return joined.withColumn("state", state).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def parquet_footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, rows, row groups and columns of each file; tasks read the footers alone, one row a file."""
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for path in part["path"]:
+                fs, inside = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+                with fs.open_input_file(inside) as f:
+                    m = pq.read_metadata(f)
+                out.append((path, m.num_rows, m.num_row_groups, m.num_columns))
+            yield pd.DataFrame(out, columns=["path", "n_rows", "n_row_groups", "n_columns"])
+
+    named = spark.createDataFrame([(p,) for p in paths], "path string")
+    return named.repartition(max(1, min(len(paths), 200))).mapInPandas(run, "path string, n_rows long, n_row_groups long, n_columns long")
+
+
+def read_row_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """Rows start <= position < stop of each Parquet file, by its own numbering; row groups outside need not be decoded."""
+    at = F.col("_metadata.row_index")
+    return spark.read.parquet(path).filter((at >= start) & (at < stop))
 
 
 def read_catalog(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
@@ -81,29 +130,41 @@ def read_votable_csv(spark: SparkSession, path: str, schema: str = "ID string, R
     return rows.select(F.from_csv("line", schema, {"sep": ";", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
+def curve_files(spark: SparkSession, root: str) -> DataFrame:
+    """stem, header and cells of every line of the small CSV files below root, each with the header of its own file.
+
+    Header names are lower-cased, white space and quotes around cells go; empty files have no lines."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=True)
+    lines = whole.select(file_stem().alias("stem"), F.split("value", r"\r?\n").alias("lines"))
+    cells = lambda line: F.transform(F.split(line, ","), lambda x: F.regexp_replace(x, r'^[\s"]+|[\s"]+$', ""))
+    split = lines.select("stem", F.transform(cells(F.col("lines")[0]), F.lower).alias("header"), F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    return split.filter(F.trim("line") != "").select("stem", "header", cells(F.col("line")).alias("cells"))
+
+
+def cell(name: str) -> Column:
+    """The number in the column name of a line of curve_files, null where its file has no such column."""
+    at = F.array_position("header", name)
+    return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).try_cast("double")
+
+
 def read_named_curves(spark: SparkSession, root: str) -> DataFrame:
-    """Curve files mission_id_meta_flux_date.csv one or two folders down; other names are passed over."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
-    parts = F.split(file_stem(), "_")
-    named = df.withColumn("_parts", parts).filter(F.size("_parts") >= 5)
-    number = lambda c: F.col(c).try_cast("double")
-    error = number("flux_err") if "flux_err" in df.columns else F.lit(None).cast("double")
-    return named.select(F.concat_ws("_", F.slice("_parts", 1, 3)).alias("id_objeto"), F.col("_parts")[0].alias("mision"), F.col("_parts")[1].alias("id_mision"), number("time").alias("tiempo"), number("flux").alias("magnitud"), error.alias("error"))
+    """Curve files mission_id_meta_flux_date.csv any folders down, columns by each file's header; other names are passed over."""
+    named = curve_files(spark, root).withColumn("_parts", F.split("stem", "_")).filter(F.size("_parts") >= 5)
+    return named.select(F.concat_ws("_", F.slice("_parts", 1, 3)).alias("id_objeto"), F.col("_parts")[0].alias("mision"), F.col("_parts")[1].alias("id_mision"), cell("time").alias("tiempo"), cell("flux").alias("magnitud"), cell("flux_err").alias("error"))
 
 
 def read_object_curves(spark: SparkSession, root: str, catalog: DataFrame, key: str = "source_id") -> DataFrame:
-    """CSV curves named after their object, with HJD or hjd, joined to its catalog row; missing errors are null."""
-    df = spark.read.option("header", True).csv(root).withColumn(key, file_stem())
-    have = {c.lower(): c for c in df.columns}
-    number = lambda c: F.col(have[c]).try_cast("double") if c in have else F.lit(None).cast("double")
-    curves = df.select(key, number("hjd").alias("tiempo"), number("mag").alias("magnitud"), number("mag_err").alias("error"), number("flux").alias("flux"), number("flux_err").alias("flux_err"))
-    return curves.join(catalog.dropDuplicates([key]), key).filter(F.col("tiempo").isNotNull())
+    """CSV curves named after their object, with HJD or hjd, columns by each file's header, joined to its catalog row;
+    missing columns are null, rows without time go. Of repeated keys in the catalog the smallest row counts."""
+    curves = curve_files(spark, root).select(F.col("stem").alias(key), cell("hjd").alias("tiempo"), cell("mag").alias("magnitud"), cell("mag_err").alias("error"), cell("flux").alias("flux"), cell("flux_err").alias("flux_err"))
+    rest = [c for c in catalog.columns if c != key]
+    one = catalog.groupBy(F.col(key).cast("string").alias(key)).agg(F.min(F.struct(*rest)).alias("_c")).select(key, *(F.col("_c")[c].alias(c) for c in rest)) if rest else catalog.select(F.col(key).cast("string").alias(key)).distinct()
+    return curves.join(one, key).filter(F.col("tiempo").isNotNull())
 
 
 def file_report(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """path and bytes of the files with content; Spark's readers pass over zero-byte files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("bytes"))
+    """path and bytes of every file, and whether it is empty (zero bytes)."""
+    return list_files(spark, root, glob).withColumn("is_empty", F.col("bytes") == 0)
 
 
 def read_checked(spark: SparkSession, root: str, schema: str, class_col: str, classes: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -130,13 +191,10 @@ def links(html: Column, pattern: str = r"href=\"([^\"]*)\"") -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
-def extract_tar(path: str, target: str) -> list[str]:
-    """Unpack an archive once; a target that is there already is left alone. Names of its files."""
-    out = Path(target)
-    if not out.exists():
-        with tarfile.open(path) as t:
-            t.extractall(out, filter="data")
-    return sorted(str(p) for p in out.rglob("*") if p.is_file())
+def object_links(html: Column, text: str) -> Column:
+    """Targets /variables/<uuid> of the anchors of a page whose text is exactly text."""
+    quoted = re.sub(r"([^\w\s])", r"\\\1", text)
+    return F.regexp_extract_all(html, F.lit(rf'<a\b[^>]*href="(/variables/[0-9a-fA-F-]{{36}})"[^>]*>\s*{quoted}\s*</a>'), F.lit(1))
 
 
 class CurveSource(Protocol):

@@ -10,13 +10,72 @@ from pyspark.sql import types as T
 
 # Canonical columns with the physical names that stand for them; of a name listed twice the later counts.
 ALIASES = {
-    "id": "id source_id ID id_objeto oid", "mission_id": "id_mision", "mission": "mission mision", "start_date": "fecha_inicio", "end_date": "fecha_fin", "label_source": "origen_etiqueta", "clase_variable": "clase_variable variable_class", "clase_variable_normalizada": "clase_variable_normalizada normalized_class",
-    "period": "period PERIOD period_days period_day", "amplitude": "amplitude AMPLITUDE ampli ampli_max", "ra": "ra RA ra_deg", "dec": "dec DEC dec_deg", "flux": "flux", "flux_err": "flux_err error", "mag": "mag magnitud", "mag_err": "mag_err magerr",
-    **{c: c for c in "magzp magzprms limitmag airmass cadenceno".split()}, "quality": "quality sap_quality", **{c: c for c in "fcor cbv01 cbv02 cbv03 cbv04 cbv05 cbv06".split()}, "bkg": "bkg sap_bkg", "bkg_err": "sap_bkg_err",
-    **{c: c for c in "centroid_col centroid_row sap_flux sap_flux_err pdcsap_flux pdcsap_flux_err psf_centr1 psf_centr1_err psf_centr2 psf_centr2_err mom_centr1 mom_centr1_err mom_centr2 mom_centr2_err pos_corr1 pos_corr2".split()}, "band": "band filtercode",
-    "tiempo": "tiempo mjd HJD hjd time", "time": "time HJD MJD hjd mjd tiempo", **{c: c for c in "timecorr field filefracday catflags ccdid chi clrcoeff clrcounc expid exptime programid qid sharp source_dataset".split()},
-}
-CANONICAL = {alias: name for name, aliases in ALIASES.items() for alias in aliases.split()}
+    "id": ["id", "source_id", "ID", "id_objeto", "oid"],
+    "mission_id": ["id_mision"],
+    "mission": ["mission", "mision"],
+    "start_date": ["fecha_inicio"],
+    "end_date": ["fecha_fin"],
+    "label_source": ["origen_etiqueta"],
+    "clase_variable": ["clase_variable", "variable_class"],
+    "clase_variable_normalizada": ["clase_variable_normalizada", "normalized_class"],
+    "period": ["period", "PERIOD", "period_days", "period_day"],
+    "amplitude": ["amplitude", "AMPLITUDE", "ampli", "ampli_max"],
+    "ra": ["ra", "RA", "ra_deg"],
+    "dec": ["dec", "DEC", "dec_deg"],
+    "flux": ["flux"],
+    "flux_err": ["flux_err", "error"],
+    "mag": ["mag", "magnitud"],
+    "mag_err": ["mag_err", "magerr"],
+    "magzp": ["magzp"],
+    "magzprms": ["magzprms"],
+    "limitmag": ["limitmag"],
+    "airmass": ["airmass"],
+    "cadenceno": ["cadenceno"],
+    "quality": ["quality", "sap_quality"],
+    "fcor": ["fcor"],
+    "cbv01": ["cbv01"],
+    "cbv02": ["cbv02"],
+    "cbv03": ["cbv03"],
+    "cbv04": ["cbv04"],
+    "cbv05": ["cbv05"],
+    "cbv06": ["cbv06"],
+    "bkg": ["bkg", "sap_bkg"],
+    "bkg_err": ["sap_bkg_err"],
+    "centroid_col": ["centroid_col"],
+    "centroid_row": ["centroid_row"],
+    "sap_flux": ["sap_flux"],
+    "sap_flux_err": ["sap_flux_err"],
+    "pdcsap_flux": ["pdcsap_flux"],
+    "pdcsap_flux_err": ["pdcsap_flux_err"],
+    "psf_centr1": ["psf_centr1"],
+    "psf_centr1_err": ["psf_centr1_err"],
+    "psf_centr2": ["psf_centr2"],
+    "psf_centr2_err": ["psf_centr2_err"],
+    "mom_centr1": ["mom_centr1"],
+    "mom_centr1_err": ["mom_centr1_err"],
+    "mom_centr2": ["mom_centr2"],
+    "mom_centr2_err": ["mom_centr2_err"],
+    "pos_corr1": ["pos_corr1"],
+    "pos_corr2": ["pos_corr2"],
+    "band": ["band", "filtercode"],
+    "tiempo": ["tiempo", "mjd", "HJD", "hjd", "time"],
+    "time": ["time", "HJD", "MJD", "hjd", "mjd", "tiempo"],
+    "timecorr": ["timecorr"],
+    "field": ["field"],
+    "filefracday": ["filefracday"],
+    "catflags": ["catflags"],
+    "ccdid": ["ccdid"],
+    "chi": ["chi"],
+    "clrcoeff": ["clrcoeff"],
+    "clrcounc": ["clrcounc"],
+    "expid": ["expid"],
+    "exptime": ["exptime"],
+    "programid": ["programid"],
+    "qid": ["qid"],
+    "sharp": ["sharp"],
+    "source_dataset": ["source_dataset"],
+}
+CANONICAL = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
 
 
 def canonical(name: str) -> str:
@@ -26,7 +85,7 @@ def canonical(name: str) -> str:
 def find_column(names: Iterable[str], logical: str) -> str | None:
     """The physical column for a logical one: itself, an alias of it, or of the canonical name that it is an alias of."""
     have = list(names)
-    for known in (logical, *ALIASES.get(logical, "").split(), *ALIASES.get(canonical(logical), "").split(), canonical(logical)):
+    for known in (logical, *ALIASES.get(logical, []), *ALIASES.get(canonical(logical), []), canonical(logical)):
         if known in have:
             return known
     return None

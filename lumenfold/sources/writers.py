@@ -9,20 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .readers import list_files, parquet_footers
 from .schema import conform
 
 
-def append_parquet(df: DataFrame, path: str, schema: T.StructType | None = None, rows_per_file: int | None = None, partition_by: list[str] | None = None) -> None:
-    """Append under a frozen schema, snappy-compressed, files of at most rows_per_file rows."""
+def append_parquet(df: DataFrame, path: str, schema: T.StructType | None = None, rows_per_file: int | None = None, partition_by: list[str] | None = None, rows_per_group: int | None = None) -> None:
+    """Append under a frozen schema, snappy-compressed, files of at most rows_per_file and row groups of at most rows_per_group rows."""
     w = (conform(df, schema) if schema else df).write.mode("append").option("compression", "snappy")
     if rows_per_file:
         w = w.option("maxRecordsPerFile", rows_per_file)
+    if rows_per_group:
+        w = w.option("parquet.block.row.count.limit", rows_per_group)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def compact(spark: SparkSession, source: str, target: str, files: int, block_bytes: int = 128 << 20) -> None:
-    """Rewrite fragmented files as files files with large row groups."""
-    spark.read.parquet(source).repartition(files).write.mode("overwrite").option("compression", "snappy").option("parquet.block.size", block_bytes).parquet(target)
+def compact(spark: SparkSession, source: str, target: str, files: int, block_bytes: int = 128 << 20, rows_per_group: int | None = None) -> DataFrame:
+    """Rewrite fragmented files as files files with large row groups; returns the number of files, row groups and rows before and after."""
+    w = spark.read.parquet(source).repartition(files).write.mode("overwrite").option("compression", "snappy").option("parquet.block.size", block_bytes)
+    (w.option("parquet.block.row.count.limit", rows_per_group) if rows_per_group else w).parquet(target)
+    out = None
+    for state, path in (("before", source), ("after", target)):
+        names = [r["path"] for r in list_files(spark, path, "*.parquet").collect()]
+        row = parquet_footers(spark, names).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_row_groups").alias("n_row_groups"), F.sum("n_rows").alias("n_rows")).select(F.lit(state).alias("state"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def with_constant(df: DataFrame, column: str, value) -> DataFrame:

@@ -33,7 +33,7 @@ def test_named_and_joined_curves(spark, tmp_path):
     got = readers.read_object_curves(spark, str(o), cat).collect()
     assert [(r["source_id"], r["tiempo"], r["magnitud"], r["error"], r["variable_type"]) for r in got] == [("s1", 5.0, 6.0, None, "EA")]
     (o / "empty.csv").write_text("")
-    assert [r["path"].rpartition("/")[2] for r in readers.file_report(spark, str(o)).collect()] == ["s1.csv"]
+    assert {r["path"].rpartition("/")[2]: r["is_empty"] for r in readers.file_report(spark, str(o)).collect()} == {"s1.csv": False, "empty.csv": True}
     k = tmp_path / "k"
     k.mkdir()
     (k / "x.csv").write_text("id,cls\n1,EA\n2,ZZ\nnope,EA\n")
@@ -41,6 +41,48 @@ def test_named_and_joined_curves(spark, tmp_path):
     assert [tuple(r) for r in good.collect()] == [(1, "EA")] and {r["state"]: r["n"] for r in states.collect()} == {"valid": 1, "corrupt": 1, "other_class": 1}
 
 
+def test_curve_files_have_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "A.csv").write_text('HJD,mag,mag_err,flux,flux_err\n1.5,12.5,0.1,100,2\n')
+    (tmp_path / "B.csv").write_text('"hjd", flux,mag\r\n2.5,200,13.5\r\n,1,2\r\n')
+    (tmp_path / "C.csv").write_text("")
+    (tmp_path / "D.csv").write_text("hjd\nx\n3\n")
+    cat = spark.createDataFrame([("A", "EA"), ("B", "EB"), ("B", "EW"), ("D", "RR")], "source_id string, variable_type string")
+    got = readers.read_object_curves(spark, str(tmp_path), cat).collect()
+    assert sorted((r["source_id"], r["tiempo"], r["magnitud"], r["error"], r["flux"], r["flux_err"], r["variable_type"]) for r in got) == [("A", 1.5, 12.5, 0.1, 100.0, 2.0, "EA"), ("B", 2.5, 13.5, None, 200.0, None, "EB"), ("D", 3.0, None, None, None, None, "RR")]
+    d = tmp_path / "n" / "m"
+    d.mkdir(parents=True)
+    (d / "tess_1_a_flux_2020.csv").write_text("flux,time\n2,1\n")
+    (d / "tess_2_a_flux_2020.csv").write_text("time,flux_err,flux\n3,0.5,4\n")
+    got = readers.read_named_curves(spark, str(tmp_path / "n")).collect()
+    assert sorted((r["id_objeto"], r["tiempo"], r["magnitud"], r["error"]) for r in got) == [("tess_1_a", 1.0, 2.0, None), ("tess_2_a", 3.0, 4.0, 0.5)]
+
+
+def test_reports_of_files(spark, tmp_path):
+    spark.range(100).repartition(2).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "p" / "bad.parquet").write_bytes(b"PAR1 nothing")
+    (tmp_path / "p" / "none.parquet").write_bytes(b"")
+    states = readers.scan_report(spark, str(tmp_path / "p")).groupBy("state").agg(readers.F.count("*").alias("n"), readers.F.sum("n_rows").alias("rows")).collect()
+    assert {r["state"]: (r["n"], r["rows"]) for r in states} == {"valid": (2, 100), "corrupt": (1, 0), "empty": (1, 0)}
+    assert readers.read_mixed(spark, str(tmp_path / "p")).count() == 100
+    (tmp_path / "c.csv").write_text("# made by hand\na,b\n1,x\n")
+    assert [tuple(r) for r in readers.read_catalog(spark, str(tmp_path / "c.csv")).collect()] == [("1", "x")]
+
+
+def test_row_groups_and_row_ranges(spark, tmp_path):
+    df = spark.range(1000).coalesce(1)
+    frag, out = str(tmp_path / "frag"), str(tmp_path / "out")
+    writers.append_parquet(df, frag, rows_per_group=100)
+    report = {r["state"]: r.asDict() for r in writers.compact(spark, frag, out, 1, rows_per_group=250).collect()}
+    assert report["before"]["n_row_groups"] == 10 and report["after"]["n_row_groups"] == 4 and report["before"]["n_rows"] == report["after"]["n_rows"] == 1000
+    assert sorted(r[0] for r in readers.read_row_range(spark, frag, 250, 260).collect()) == list(range(250, 260))
+
+
+def test_saved_dataset(spark, tmp_path):
+    writers.save_dataset(spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string"), {"classes": ["EA"]}, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d" / "samples")).filter("split = 'train'").first()["id"] == 1
+    assert "EA" in spark.read.text(str(tmp_path / "d" / "stats")).first()[0]
+
+
 def test_parquet_round_trips(spark, tmp_path):
     df = spark.range(1000).selectExpr("id", "id * 1.5 AS mag")
     frag, out = str(tmp_path / "frag"), str(tmp_path / "one")

@@ -20,15 +20,46 @@ from lumenfold.sources import schema
 INF, NAN = float("inf"), float("nan")
 
 
-@pytest.mark.parametrize("raw, known", [*GOLDEN.items(), (None, "Unknown"), (3, "Unknown"), ("SR|M", "Irregular"), ("BCEP+SPB", "Variable")])
-def test_label_rules(raw, known):
-    assert L.resolver()(raw) == known
+def classes_of(spark, labels):
+    df = spark.createDataFrame(list(enumerate(labels)), "k int, raw string")
+    found = dict(L.normalize_labels(df, "raw", "c").select("k", "c").collect())
+    return [found[i] for i in range(len(labels))]
 
 
-@given(st.text("EADSCTRLM|/+: -_", max_size=12))
-@settings(max_examples=200, deadline=None)
-def test_labels_are_always_classes(raw):
-    assert L.resolver()(raw) in {*L.CLASS_LABELS, "Unknown"}
+def test_label_rules(spark):
+    known = [*GOLDEN.items(), (None, "Unknown"), ("3", "Unknown"), ("SR|M", "Irregular"), ("BCEP+SPB", "Variable"), ("X|CV:E", "Cataclysmic"), (" ea | nothing ", "Eclipsing Binary"), ("x/UGSU+E", "Cataclysmic"), ("a|b/c+d:e:", "Eclipsing Binary")]
+    assert classes_of(spark, [k for k, _ in known]) == [v for _, v in known]
+
+
+def test_labels_of_parts(spark):
+    r = random.Random(3)
+    whole = {label: name for name, labels in L.CLASS_LABELS.items() for label in labels if label == label.upper() and not set(label) & set("|/+:-_")}
+    pairs = [(a, mark, b) for a, b, mark in ((r.choice(list(whole)), r.choice(list(whole)), r.choice("|/+:")) for _ in range(300)) if f"{a}{mark}{b}" not in {x for v in L.CLASS_LABELS.values() for x in v}]
+    got = classes_of(spark, [f"{a} {mark}{b.lower()}" for a, mark, b in pairs])
+    assert got == [min(whole[a], whole[b], key=L.PREFERENCE.index) for a, _, b in pairs]
+    odd = ["".join(r.choice("EADSCTRLM|/+: -_") for _ in range(r.randrange(12))) for _ in range(300)]
+    assert set(classes_of(spark, odd)) <= {*L.CLASS_LABELS, "Unknown"}
+
+
+def test_rare_classes_and_needed_slices(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate("aaabbc")] + [(9, None)], "k int, c string")
+    assert {r["k"]: r["c"] for r in L.fold_rare(df, "c", 2).collect()} == {0: "a", 1: "a", 2: "a", 3: "b", 4: "b", 5: "RARE", 9: "RARE"}
+    assert sorted(r["k"] for r in I.needed_slices(df, "c", 2).collect() if r["c"]) == [0, 1, 2]
+    assert I.needed_slices(df, "c").count() == 6
+    assert [r[0] for r in spark.createDataFrame([("V 12",), ("x",)], "i string").select(I.prefixed(F.col("i"), "VSX_TESS")).collect()] == ["TIC_12", None]
+
+
+def test_stable_ranks_are_those_of_one_sort(spark):
+    df = spark.createDataFrame([(i, "xyz"[i % 3] if i % 7 else None) for i in range(400)], "k int, c string")
+    got = {r["k"]: (r["r"], r["n"]) for r in R.stable_rank(df, "k", ["c"], "r", "n").collect()}
+    order = [r["k"] for r in df.orderBy(R.stable_order("k"), "k").collect()]
+    for c in ("x", "y", "z", None):
+        own = [k for k in order if ("xyz"[k % 3] if k % 7 else None) == c]
+        assert [got[k] for k in own] == [(i + 1, len(own)) for i in range(len(own))]
+    assert [r["k"] for r in R.stable_rank(df, "k", [], "r").orderBy("r").collect()] == order
+    assert R.preview(df, "k", "c", 2).count() == 8
+    assert [tuple(r) for r in R.counts_in_order(df.filter("c is not null"), "c").collect()] == sorted(((c, sum("xyz"[i % 3] == c for i in range(400) if i % 7)) for c in "xyz"), key=lambda x: (-x[1], x[0]))
+    assert R.stable_rank(df.filter("false"), "k", ["c"], "r").count() == 0
 
 
 def test_labels_in_a_frame(spark):
@@ -47,7 +78,7 @@ def test_degenerate_curves(spark):
     df = spark.createDataFrame([(k, i, x, "EB") for k, v in curves.items() for i, x in enumerate(v)], "id string, time int, value double, label string")
     s = C.curve_stats(df, "id", "value", F.min("label"))
     got = dict(s.select("id", C.discard_reason(s)).collect())
-    assert got == {"nan": "all_nan", "n29": "short_curve", "n30": "ok", "flat": "low_std", "iqr0": "ok", "inf": "ok"}
+    assert got == {"nan": "all_invalid", "n29": "short_curve", "n30": "ok", "flat": "low_std", "iqr0": "ok", "inf": "ok"}
     f = {x["id"]: x for x in C.curve_features(df, "id", "value").collect()}
     assert f["flat"]["f_skew"] == 0 and f["iqr0"]["f_iqr"] == 0 and math.isfinite(f["inf"]["f_std"])
     scaled = {(x["id"], x["time"]): x["scaled"] for x in C.normalize_robust(df.filter("id = 'iqr0'"), "id", "value").collect()}
