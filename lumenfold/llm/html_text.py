@@ -27,7 +27,7 @@ PAGES, TREES, DEPTH, RATE, BINS = 1500, 80, 4, 0.25, 32
 # HTML element names by how a reader treats them, and attribute words by what they say.
 BLOCKS = set("html body article section nav aside header footer main div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset address details summary hgroup search center ins dialog menu".split())
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
-DROPPED = set("script style textarea title xmp noembed noframes iframe noscript template svg math select option button input label canvas object audio video head".split())
+DROPPED = set("script style textarea title xmp noembed noframes iframe noscript template select option input audio video head".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = {"br", "hr", "img", "td", "th"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -44,9 +44,10 @@ WORD_KIND = {w: i for i, (_, words) in enumerate(WORDS.items()) for w in words}
 KINDS = {**dict.fromkeys(["nav", "menu"], 0), "header": 1, "footer": 2, "aside": 3, **dict.fromkeys(["article", "main"], 4), "section": 5, **dict.fromkeys(["div", "center", "ins"], 6), "p": 7, **dict.fromkeys("h1 h2 h3 h4 h5 h6 hgroup".split(), 8), **dict.fromkeys(["li", "dt", "dd"], 9), **dict.fromkeys(["ul", "ol", "dl"], 10), **dict.fromkeys(["form", "fieldset", "search", "dialog"], 11), **dict.fromkeys("table thead tbody tfoot tr td th caption".split(), 12), **dict.fromkeys(["blockquote", "pre", "figure", "figcaption"], 13), "#text": 14, **dict.fromkeys(["html", "body"], 15)}
 FEATURES = 16 + 6 + 6 + 6 + 16
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -77,6 +78,36 @@ def attribute_words(attributes: str) -> tuple[int, ...]:
 _NONE = (0,) * len(WORDS)
 
 
+class Tags:
+    """Reads a page's tags from left to right, in time that grows with its length: a quote that is never closed is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.tag, self.last = page, _TAG, page.rfind(">")
+
+    def after(self, at: int):
+        """Begin and end of the next markup from at on, and (closing, name, attributes) if it is a tag; None if there is none."""
+        page = self.page
+        while (low := page.find("<", at)) >= 0:
+            mark = page[low + 1 : low + 2]
+            if page.startswith("<!--", low):
+                end = page.find("-->", low + 4)
+                return low, len(page) if end < 0 else end + 3, None
+            if low > self.last:
+                return None
+            named = page[low + 1 + (mark == "/") : low + 2 + (mark == "/")]
+            if mark in ("!", "?") or mark == "/" and not (named.isascii() and named.isalpha()):
+                return low, page.find(">", low) + 1, None
+            if named.isascii() and named.isalpha():
+                m = self.tag.match(page, low)
+                if not m and self.tag is _TAG:
+                    self.tag = _LOOSE  # from here on a tag ends at the next >
+                    m = self.tag.match(page, low)
+                if m:
+                    return low, m.end(), (bool(m[1]), m[2].lower(), m[3])
+            at = low + 1
+        return None
+
+
 def read_page(page: str) -> Node:
     """The tree of block elements; text runs are #text leaves, their white space already single spaces."""
     root = here = Node("html", None, _NONE)
@@ -93,23 +124,23 @@ def read_page(page: str) -> Node:
             leaf.text, leaf.linked, leaf.links = [text], min(linked, len(text)), links
         run, linked, links = [], 0, 0
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        cut = m.start() if m else n
+        found = tags.after(at)
+        cut = found[0] if found else n
         if cut > at and not dropped:
             piece = html.unescape(page[at:cut])
             run.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
+        at = found[1]
+        if found[2] is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        closing, tag, attributes = found[2]
         if tag in RAW and not closing:
-            end = _RAW_END[tag].search(page, at)
+            end = RAW_END[tag].search(page, at)
             if not end:
                 break
             end = page.find(">", end.start())
@@ -170,7 +201,7 @@ def read_page(page: str) -> Node:
                 up = up.parent
             if close is not None:
                 here = close.parent
-        here = Node(tag, here, attribute_words(m[3]) if m[3] else _NONE)
+        here = Node(tag, here, attribute_words(attributes) if attributes else _NONE)
     flush()
     return root
 

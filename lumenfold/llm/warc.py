@@ -22,13 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import operator, ship
-from .html_text import nodes_of, read_page
+from .html_text import RAW_END, Tags, nodes_of, read_page
 
 VERSION = "WARC/1.1"
+#: Bytes within which a record's headers end.
+HEADERS = 1 << 20
 #: Stands in for the capture time where a table of pages has none.
 DATE = "2024-01-01T00:00:00Z"
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe|form)\b[^>]*?\s(href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action"}
+_VALUE = {at: re.compile(r"(?:^|[\s\"'])%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))" % at, re.I) for at in set(_LINKS.values())}
+_TITLE_END = re.compile("</title", re.I | re.A)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 
 
@@ -70,19 +73,60 @@ def get(headers: list[tuple[str, str]], name: str) -> str:
     return next((v for k, v in headers if k.lower() == name.lower()), "")
 
 
+def opened(data: bytes) -> bytes:
+    """The bytes of gzip members, one after another; of a member cut short or damaged what comes before."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(data), 1 << 16):
+                out.append(member.decompress(data[at : at + (1 << 16)]))
+                if member.eof:
+                    data = member.unused_data + data[at + (1 << 16) :]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def read_records(data: bytes):
-    """(headers, block) of each record of a WARC file's bytes; gzip members are opened; a cut last record keeps what is there."""
+    """(headers, block) of each record of a WARC file's bytes; gzip members are opened; a cut last record keeps what is
+    there. A record begins where the one before ends; after a wrong Content-Length, at the next line that begins one."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        head, _ = _split(data[at:])
-        end = data.find(b"\r\n\r\n", at)
-        start = end + 4 if end >= 0 else at + len(head) + 2
-        headers = parse_headers(head.partition(b"\n")[2])
+        data = opened(data)
+    at = data.find(b"WARC/")
+    while at >= 0:
+        end, mark = next(((e, m) for m in (b"\r\n\r\n", b"\n\n") if (e := data.find(m, at, at + HEADERS)) >= 0), (len(data), b""))
+        start, headers = end + len(mark), parse_headers(data[at:end].partition(b"\n")[2])
         size = int(n) if (n := get(headers, "content-length")).isdigit() else 0
         yield headers, data[start : start + size]
         at = start + size
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if not data.startswith(b"WARC/", at):
+            found = data.find(b"\nWARC/", at)
+            at = found + 1 if found >= 0 else -1
+
+
+def title_and_links(page: str) -> tuple[str, list[dict]]:
+    """The first title's text, and the links of a, link, img, script, iframe and form tags."""
+    tags, at, title, links = Tags(page), 0, None, []
+    while found := tags.after(at):
+        at = found[1]
+        if found[2] is None or found[2][0]:
+            continue
+        _, tag, attributes = found[2]
+        if tag in _LINKS and (m := _VALUE[_LINKS[tag]].search(attributes)):
+            links.append({"tag": tag, "at": _LINKS[tag], "url": html.unescape(m[1] or m[2] or m[3] or "")})
+        if tag == "title" and title is None:
+            end = _TITLE_END.search(page, at)
+            title, at = (page[at : end.start()], end.start()) if end else ("", at)
+        elif tag in RAW_END and tag != "title":
+            end = RAW_END[tag].search(page, at)
+            at = end.start() if end else len(page)
+    return " ".join(html.unescape(title or "").split()), links
 
 
 def body_of(headers: list[tuple[str, str]], body: bytes) -> bytes:
@@ -125,13 +169,12 @@ def derivatives(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     kind = get(http, "content-type").split(";")[0].strip().lower()
     page = text_of(http, payload)
     is_html = kind in ("text/html", "application/xhtml+xml", "")
-    title = _TITLE.search(page) if is_html else None
-    links = [{"tag": m[1].lower(), "at": m[2].lower(), "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in _LINK.finditer(page)] if is_html else []
+    title, links = title_and_links(page) if is_html else ("", [])
     payload_digest = get(headers, "warc-payload-digest") or digest(body)
     said = {
         "source": {"warc_headers": headers, "block_digest": get(headers, "warc-block-digest") or digest(block), "payload_digest": payload_digest, "payload_length": len(body)},
         "http": {"status": status.decode("latin-1").strip(), "headers": http},
-        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else "", "links": links},
+        "html": {"title": title, "links": links},
     }
     text = visible_text(page) if is_html else page if kind.startswith("text/") else ""
     out = []

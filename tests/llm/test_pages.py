@@ -1,7 +1,12 @@
 import base64
+import collections
 import gzip
 import hashlib
 import json
+import math
+import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -116,9 +121,160 @@ def test_codings_and_other_records():
     assert [d["record_type"] for h, b in warc.read_records(broken) for d in warc.derivatives(h, b)] == ["metadata", "conversion"]
 
 
+def test_malformed_pages_take_linear_time():
+    n = 1 << 20
+    for t in ("<a '", "<a b ", "<!", "<", "<a href='x ", '<a "x>', "</", "<title>", "<!--", "<p class='"):
+        began = time.process_time()
+        page = t * (n // len(t))
+        html_text.read_page(page)
+        warc.title_and_links(page)
+        assert time.process_time() - began < 4, t
+    leaves = [x.text[0] for x in html_text.nodes_of(html_text.read_page("<p>one</p><a href='x>two</a><p>three</p>")) if x.tag == "#text"]
+    assert " ".join(leaves) == "one two three"
+
+
+def test_inline_elements_of_articles_stay():
+    page = "<article><p>The value of <math><mi>x</mi></math> is <button>seven</button> by <label>this table</label>, as said before.</p></article>"
+    assert page_of(page) == "The value of x is seven by this table, as said before."
+
+
+def plain_records(responses):
+    """The derivatives of plain responses, worked out line by line."""
+    out = []
+    for head, status, fields, body in responses:
+        source = dict(head)["WARC-Record-ID"]
+        parser = Visible()
+        parser.feed(body)
+        parser.close()
+        out.append((source, "metadata", dict(head)["WARC-Target-URI"], parser.title.strip(), [tuple(x) for x in parser.links]))
+        out.append((source, "conversion", dict(head)["WARC-Target-URI"], "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)))
+    return out
+
+
+class Visible(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.links, self.title, self.skip, self.in_title = [""], [], "", 0, False
+
+    def handle_starttag(self, tag, attributes):
+        found = dict(attributes).get({"a": "href", "img": "src"}.get(tag))
+        if found is not None:
+            self.links.append((tag, found))
+        self.in_title = tag == "title"
+        self.skip += tag in ("script", "style", "title")
+        if tag in ("p", "div", "h1", "ul", "li", "nav"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.in_title = False
+        self.skip -= tag in ("script", "style", "title")
+        if tag in ("p", "div", "h1", "ul", "li", "nav"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        elif not self.skip:
+            self.blocks[-1] += data
+
+
+def test_derivatives_match_a_plain_reader():
+    r = random.Random(8)
+    word = lambda: r.choice(["é&amp;x", "wörd", "plain", "a &lt; b", "WARC/1.1", "x\r\ny"])
+    pages = []
+    for i in range(60):
+        parts = [f"<title>{word()} {i}</title>", "<script>var a = '<a href=no>';</script>"]
+        for _ in range(r.randrange(6)):
+            parts.append(r.choice([f"<p>{word()} {word()}</p>", f"<div><h1>{word()}</h1><a href='/{i}?q=1&amp;r=2'>{word()}</a></div>", f"<ul><li>{word()}</li><li><b>{word()}</b></li></ul>", f'<nav><img src="{i}.png">{word()}</nav>', "<style>p{}</style><!-- <p>no</p> -->"]))
+        pages.append("".join(parts))
+    responses = [([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>"), ("WARC-Target-URI", f"http://h/{i}")], "HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8")], p) for i, p in enumerate(pages)]
+    records = [warc.record(h, f"{s}\r\n{f[0][0]}: {f[0][1]}\r\n\r\n".encode() + b.encode()) for h, s, f, b in responses]
+    got = []
+    for headers, block in warc.read_records(b"".join(records[:30]) + b"" + b"".join(records[30:])):
+        for d in warc.derivatives(headers, block):
+            said = json.loads(d["content"]) if d["record_type"] == "metadata" else None
+            got.append((d["refers_to"], d["record_type"], d["target_uri"], said["html"]["title"], [(x["tag"], x["url"]) for x in said["html"]["links"]]) if said else (d["refers_to"], d["record_type"], d["target_uri"], d["content"]))
+    want = plain_records(responses)
+    assert [(*w[:3], " ".join(w[3].split()), w[4]) if w[1] == "metadata" else w for w in want] == got
+
+
+def test_cut_and_damaged_archives():
+    records = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], b"HTTP/1.1 200 OK\r\n\r\n<p>text %d" % i) for i in range(3)]
+    members = [gzip.compress(x) for x in records]
+    ids = lambda data: [warc.get(h, "warc-record-id") for h, _ in warc.read_records(data)]
+    assert ids(b"".join(members)) == ["<0>", "<1>", "<2>"]
+    assert ids(members[0] + members[1][:-9]) == ["<0>", "<1>"]  # cut short
+    assert ids(members[0] + b"\x1f\x8b garbage") == ["<0>"] and ids(b"\x1f\x8b") == []
+    body = b"HTTP/1.1 200 OK\r\n\r\n<p>quotes\r\nWARC/1.0 in its body"
+    assert ids(warc.record([("WARC-Record-ID", "<q>")], body) + records[1]) == ["<q>", "<1>"]
+    wrong = records[0].replace(b"Content-Length: ", b"Content-Length: 1")
+    assert ids(wrong[:60] + wrong[60:] + records[1] + records[2])[0] == "<0>"
+
+
 # ---- languages
 
 
+def plain_kneser_ney(texts, symbols_of, vocabulary):
+    """Interpolated Kneser-Ney with dictionaries: probability of a symbol after three others."""
+    counts = {4: collections.Counter()}
+    for t in texts:
+        padded = [0, 0, 0, *symbols_of(t)]
+        for i in range(3, len(padded)):
+            counts[4][tuple(padded[i - 3 : i + 1])] += 1
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = once / (once + 2 * twice) if once else 0.5
+
+    def p(context, s):
+        k = len(context) + 1
+        lower = 1 / vocabulary if k == 1 else p(context[1:], s)
+        after = {g: n for g, n in counts[k].items() if g[:-1] == context}
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get((*context, s), 0) - discount[k], 0) / total + discount[k] * len(after) / total * lower
+
+    return p
+
+
+def test_probabilities_match_dictionaries():
+    import numpy as np
+
+    table, r = letter_table("abcd"), random.Random(2)
+    texts = ["".join(r.choice("aabcd  !") for _ in range(r.randrange(30))) for _ in range(25)]
+    place = {c: int(table[ord(c)]) for c in "abcd"}
+
+    def symbols_of(t):
+        out = []
+        for c in t:
+            s = place.get(c, 0)
+            if s or not out or out[-1]:
+                out.append(s)
+        return out
+
+    grams, n = np.unique(symbols(texts, table)[0], return_counts=True)
+    m, p = KneserNey(grams, n, 6), plain_kneser_ney(texts, symbols_of, 6)
+    for _ in range(300):
+        g = [r.choice([0, 1, *place.values()]) for _ in range(4)]
+        code = sum(x << 16 * (3 - i) for i, x in enumerate(g))
+        assert float(m.logp(np.array([code], np.uint64))[0]) == pytest.approx(math.log(p(tuple(g[:3]), g[3])), abs=1e-4)
+
+
+def test_samples_are_ranked_in_buckets(spark, monkeypatch):
+    import lumenfold.llm.language as language
+
+    df = spark.createDataFrame([(i, f"t{i}", "xy"[i % 3 == 0] if i % 10 else None) for i in range(500)], "doc_id long, text string, lang string")
+    whole = {(r["lang"], r["rank"], r["text"]) for r in language.sample_of(df, 1000, "doc_id", "text", "lang").collect()}
+    few = {(r["lang"], r["rank"], r["text"]) for r in language.sample_of(df, 20, "doc_id", "text", "lang").collect()}
+    assert few == {x for x in whole if x[1] <= 20} and len(few) == 40 and len(whole) == 450
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    assert few == {(r["lang"], r["rank"], r["text"]) for r in language.sample_of(df, 20, "doc_id", "text", "lang").collect()}
+
+
+
 def test_probabilities_add_up():
     table = letter_table("abc")
     import numpy as np
