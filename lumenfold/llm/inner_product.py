@@ -16,9 +16,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_of, finite_vectors, materialize, matrix, operator, top_rows
+from .common import chunk_of, finite_vectors, fresh, materialize, matrix, operator, top_rows
 
 BLOCK_ROWS, CHUNK_ROWS, TILE = 8192, 4096, 512
+#: Blocks up to which the table of (block, chunks) is broadcast.
+SMALL = 10_000
+#: Lengths of vectors that are rotated, the most frequent first, and the longest of them; others are searched unrotated, as exactly.
+ROTATED, ROTATED_DIM = 16, 2048
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -37,8 +41,9 @@ def _gram(batches):
 
 
 def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension the right singular vectors of all vectors, from their Gram matrix: dim x dim numbers on the driver."""
-    rows = vectors.mapInArrow(_gram, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    """For the ROTATED most frequent dimensions the right singular vectors of all vectors, from their Gram matrix: dim x dim numbers on the driver."""
+    often = vectors.filter(F.col("dim") <= ROTATED_DIM).groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").limit(ROTATED).collect()
+    rows = vectors.filter(F.col("dim").isin([r["dim"] for r in often])).mapInArrow(_gram, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     out = {}
     for d, part in rows.groupby("dim"):
         g = np.zeros((d, d))
@@ -59,16 +64,16 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, x)) for x in big], np.int64)
 
 
-def search_cell(xi: np.ndarray, x: np.ndarray, qi: np.ndarray, q: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int):
+def search_cell(xi: np.ndarray, x: np.ndarray, qi: np.ndarray, q: np.ndarray, floor: np.ndarray, rotation: np.ndarray | None, k: int):
     """The k best of one block for each query of one chunk, as (query position, vector id, score); floor: k-th scores known so far."""
     norm, qn = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     order = np.lexsort((xi, -norm))
     x, xi, norm = x[order], xi[order], norm[order]
     head = max(1, min(x.shape[1], 16))
-    xr, qr = x @ rotation, q @ rotation
+    xr, qr = (x, q) if rotation is None else (x @ rotation, q @ rotation)
     xt, qt = np.linalg.norm(xr[:, head:], axis=1), np.linalg.norm(qr[:, head:], axis=1)
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    least = floor.astype(float)
+    least = np.nextafter(floor.astype(float), -np.inf)  # a double may lie above the long it stands for
     for at in range(0, len(x), TILE):
         to = slice(at, at + TILE)
         slack = 1e-9 * (1 + qn * norm[at])
@@ -85,7 +90,7 @@ def search_cell(xi: np.ndarray, x: np.ndarray, qi: np.ndarray, q: np.ndarray, fl
         n = np.bincount(best[0], minlength=len(q))
         full = np.flatnonzero(n >= k)
         last = np.cumsum(n)[full] - 1
-        least[full] = np.maximum(least[full], best[2][last])
+        least[full] = np.maximum(least[full], np.nextafter(best[2][last].astype(float), -np.inf))
     return best
 
 
@@ -103,16 +108,14 @@ def top_k_inner_product(df: DataFrame, is_query, k: int = 5, scale: float = 256.
     is never its candidate; scores beyond a long are held at its ends; fewer than k candidates give fewer rows.
     """
     spark = df.sparkSession
-    base = df.withColumn("_q", F.coalesce(is_query, F.lit(False)))
-    vectors = finite_vectors(base, id_col, vector_col)
-    whole = base.filter(F.col("_q"))
+    vectors = finite_vectors(df, id_col, vector_col)
     counts = vectors.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = finite_vectors(whole, id_col, vector_col).dropDuplicates(["id"])
+    queries = finite_vectors(df.filter(F.coalesce(is_query, F.lit(False))), id_col, vector_col).dropDuplicates(["id"])
     blocks = max(1, -(-counts // BLOCK_ROWS))
     chunks = max(1, -(-queries.count() // CHUNK_ROWS))
-    turn = spark.sparkContext.broadcast(rotations(vectors))  # dim x dim numbers for each dimension
+    turn = spark.sparkContext.broadcast(rotations(vectors))  # dim x dim numbers for each of at most ROTATED dimensions
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     ranged = vectors.withColumn("length", length).repartitionByRange(blocks, F.col("dim"), F.col("length").desc(), F.col("id"))
     cells = materialize(ranged.withColumn("block", F.spark_partition_id()), "inner-product")
@@ -120,33 +123,35 @@ def top_k_inner_product(df: DataFrame, is_query, k: int = 5, scale: float = 256.
     stats = cells.groupBy("dim", "block").agg(F.max(F.col("length")).alias("top"), F.count(F.lit(1)).alias("n"))
     first = stats.groupBy("dim").agg(F.min("block").alias("first"))
     asked = queries.withColumn("chunk", chunk_of(F.col("id"), chunks)).withColumn("length", length)
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
 
     def search(t: pa.Table, u: pa.Table) -> pa.Table:
         if not len(t) or not len(u):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         x, q = np.floor(scale * matrix(t, "v")), np.floor(scale * matrix(u, "v"))
         xi, qi = t.column("id").to_numpy(), u.column("id").to_numpy()
-        i, j, s = search_cell(xi, x, qi, q, u.column("least").to_numpy(), turn.value[x.shape[1]], k)
+        i, j, s = search_cell(xi, x, qi, q, u.column("least").to_numpy(), turn.value.get(x.shape[1]), k)
         return pa.table({"query_id": qi[i], "vec_id": j, "score": s})
 
     def meet(blocks_of: DataFrame, asking: DataFrame) -> DataFrame:
-        left = blocks_of.select("dim", "block", "id", "v", every).groupBy("dim", "block", "chunk")
-        return left.cogroup(asking.select("dim", "block", "chunk", "id", "v", "least").groupBy("dim", "block", "chunk")).applyInArrow(search, OUT)
-
-    longest = cells.join(F.broadcast(first.withColumnRenamed("first", "block")), ["dim", "block"], "left_semi")
-    seed = materialize(meet(longest, asked.join(F.broadcast(first.withColumnRenamed("first", "block")), "dim").withColumn("least", F.lit(-(2.0**62)))), "inner-product-seed")
+        """Blocks go to the chunks that have a query for them, and to no others."""
+        asking = asking.select("dim", "block", "chunk", "id", "v", "least")
+        chunks_of = asking.groupBy("dim", "block").agg(F.collect_set("chunk").alias("chunks"))
+        left = blocks_of.join(F.broadcast(chunks_of) if blocks <= SMALL else chunks_of, ["dim", "block"]).select("dim", "block", "id", "v", F.explode("chunks").alias("chunk"))
+        return fresh(left).groupBy("dim", "block", "chunk").cogroup(fresh(asking).groupBy("dim", "block", "chunk")).applyInArrow(search, OUT)
+
+    longest = cells.join(first.withColumnRenamed("first", "block"), ["dim", "block"], "left_semi")
+    seed = materialize(meet(longest, asked.join(first.withColumnRenamed("first", "block"), "dim").withColumn("least", F.lit(-(2**62)))), "inner-product-seed")
     if blocks == 1:
         found = seed
     else:
-        kth = seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"), F.min("score").cast("double").alias("kth"))
-        bounds = stats.join(F.broadcast(first), "dim").filter(F.col("block") > F.col("first")).groupBy("dim").agg(F.collect_list(F.struct("block", "top")).alias("blocks"))
-        limited = asked.join(kth, asked["id"] == kth["query_id"], "left").withColumn("least", F.when(F.col("have") >= k, F.col("kth")).otherwise(F.lit(-(2.0**62))))
+        kth = seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"), F.min("score").alias("kth"))
+        bounds = stats.join(first, "dim").filter(F.col("block") > F.col("first")).groupBy("dim").agg(F.collect_list(F.struct("block", "top")).alias("blocks"))
+        limited = asked.join(kth, asked["id"] == kth["query_id"], "left").withColumn("least", F.when(F.col("have") >= k, F.col("kth")).otherwise(F.lit(-(2**62))))
         # floor() moves a vector of length l by at most sqrt(dim); lengths are in units of 1 / scale here
         reach = lambda n: n * F.lit(scale) + F.sqrt(F.col("dim").cast("double"))
-        visits = limited.join(bounds, "dim").withColumn("blocks", F.filter("blocks", lambda b: reach(b["top"]) * reach(F.col("length")) * F.lit(1 + 1e-9) >= F.col("least")))
+        visits = limited.join(bounds, "dim").withColumn("blocks", F.filter("blocks", lambda b: reach(b["top"]) * reach(F.col("length")) * F.lit(1 + 1e-9) >= F.col("least").cast("double")))
         rest = visits.select("dim", F.explode(F.col("blocks.block")).alias("block"), "chunk", "id", "v", "least")
-        others = cells.join(F.broadcast(first), "dim").filter(F.col("block") > F.col("first"))
+        others = cells.join(first, "dim").filter(F.col("block") > F.col("first"))
         found = seed.unionByName(meet(others, rest))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
