@@ -20,9 +20,12 @@ from .common import materialize, operator
 
 #: Bound of the samples: documents of each language to count n-grams in, and to calibrate rejection on.
 SAMPLE, CALIBRATION = 1500, 300
+#: Languages up to which the sample's ids (SAMPLE + CALIBRATION of each) are broadcast, and buckets of a language in which
+#: rows are ranked before the language's own ranking, so that no task sorts all rows of one.
+LANGUAGES, BUCKETS = 1000, 1024
 ORDER = 4
 #: Code points read at a time, and the odd factor of the (bijective) 64-bit hash.
-BATCH_CHARS, FACTOR = 1 << 20, np.uint64(0x9E3779B97F4A7C15)
+BATCH_CHARS, FACTOR = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 #: Rejection: this many times the calibrated excess, taken where this share of the calibration documents lies below.
 MARGIN, QUANTILE = 1.5, 0.99
 
@@ -49,8 +52,10 @@ def symbols(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def letter_table(alphabet: str) -> np.ndarray:
-    """Symbols of all code points: letters of the alphabet (lower case) from 2 on, other letters 1, all else 0."""
-    number = {c: i + 2 for i, c in enumerate(sorted(set(alphabet))[:65000])}
+    """Symbols of all code points: letters of the alphabet (lower case) from 2 on, other letters 1, all else 0.
+
+    A symbol has 16 bits; of an alphabet of more letters than these name, several share a symbol."""
+    number = {c: i % 65_533 + 2 for i, c in enumerate(sorted(set(alphabet)))}
     out = np.zeros(0x110000, np.uint16)
     for p in range(0x110000):
         c = chr(p)
@@ -196,14 +201,18 @@ def _portions(texts: list[str]) -> Iterator[slice]:
 def sample_of(df: DataFrame, bound: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """lang, text and rank of at most bound rows of each language, by hash of the id.
 
-    Rows are ranked without their texts; the chosen ones, bound for each language at most, are broadcast to the texts.
+    Rows are ranked without their texts, in buckets first; the chosen ones, bound for each language at most, are
+    broadcast to the texts, unless there are more than LANGUAGES languages.
     """
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     named = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i", F.lit(19)), "i"))
-    chosen = named.distinct().withColumn("rank", rank).filter(F.col("rank") <= bound)
+    order = [F.xxhash64("i", F.lit(19)), F.col("i")]
+    first = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("i", F.lit(23)), F.lit(BUCKETS))).orderBy(*order))
+    chosen = named.distinct().withColumn("rank", first).filter(F.col("rank") <= bound)
+    chosen = materialize(chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= bound), "language-ids")
+    few = chosen.select("lang").distinct().limit(LANGUAGES + 1).count() <= LANGUAGES
     texts = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), ["lang", "i"]).select("lang", "rank", "text")
+    return texts.join(F.broadcast(chosen) if few else chosen, ["lang", "i"]).select("lang", "rank", "text")
 
 
 @operator
@@ -260,15 +269,16 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     lang_pred is und for a null text or one without a letter; score (0 to 1) is the posterior of the chosen language
     over at most 40 symbols. accepted is false for und and for texts further from every model than calibration allows.
-    Defined cases: repeated rows and null ids give a row each; without any model all is und; an empty table gives no rows.
+    Defined cases: repeated rows and null ids give a row each; columns in keep that have the names of the results are left
+    out; without any model all is und; an empty table gives no rows.
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)
-    extra = [c for c in keep if c not in (id_col, text_col)]
+    extra = [c for c in keep if c not in (id_col, text_col, "lang_pred", "score", "cross_entropy", "accepted")]
     kept = [id_col, *([text_col] if text_col in keep else []), *extra]
 
     def run(batches):
         m = shipped.value
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             texts = [t or "" for t in b.column(kept.index(text_col) if text_col in kept else len(kept)).to_pylist()]
             for part in _portions(texts):
                 lang, score, e, ok = m.predict(texts[part])
