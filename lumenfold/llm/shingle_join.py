@@ -434,8 +434,9 @@ def _grouped(sets: DataFrame, linked: DataFrame, best: DataFrame) -> DataFrame:
     the root as name), the other sets of a cluster into groups together (whole 0, the cluster's head as name)."""
     placed = sets.hint("merge").join(linked, "node", "left").hint("merge").join(best, "node", "left")
     placed = placed.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("first", "node").alias("cluster"))
-    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("count"))
+    placed = materialize(placed, "join-placed")
+    sizes = materialize(placed.groupBy("root").agg(F.count(F.lit(1)).alias("count")), "join-sizes")
     named = placed.join(sizes, "root").withColumn("whole", (F.col("count") >= GROUP).cast("int"))
     named = named.withColumn("name", F.when(F.col("whole") == 1, F.col("root")).otherwise(F.col("cluster")))
-    parts = named.groupBy("whole", "name").agg(_parts(GROUP))
+    parts = materialize(named.groupBy("whole", "name").agg(_parts(GROUP)), "join-parts")
     return named.join(parts, ["whole", "name"]).select("node", "n", "root", "whole", "name", _split(F.col("node"), F.col("parts")).alias("part"))

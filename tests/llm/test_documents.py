@@ -239,3 +239,20 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     for x in pieces.collect():
         n[x["doc_id"]] += x["length"]
     assert set(n) == set(kept["repeated_strings"])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    text = lambda: " ".join(r.choice(["kalo", "mitu", "rasa", "lomi"]) + r.choice(["", "ka", "tu"]) for _ in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, sid long, key string, score double, accepted string, lang_pred string"
+    rest = (7, 8, "k", 0.5, "no", "zz")
+    rows = [(i // 2, text(), "xx", "s", 1, *rest) for i in range(40)] + [(None, text(), "xx", None, 1, *rest), (5, None, None, None, None, *rest)]
+    for name, own in (("full", rows), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(own, schema).write.parquet(f"{path}/documents.parquet")
+        pieces = corpus_pipeline.run(spark, path).collect()
+        assert bool(pieces) == bool(own)
+        if own:
+            assert {x["doc_id"] for x in pieces} == {*range(20), None}
