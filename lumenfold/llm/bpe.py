@@ -29,7 +29,6 @@ from .common import operator
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|^ | $")
 #: White space as the pattern means it (Unicode's White_Space), in runs so long that the pattern's look-ahead must not meet them.
 LONG_RUN = 4096
 _LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
@@ -86,15 +85,15 @@ class Codec:
             at, found = end, _LONG.search(text, found.end())
         return np.array([*out, *self.bpe.encode_ordinary(text[at:])], self.width).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode those words (each after one space) that are not known yet, all in one call."""
-        new = [w for w in set(words) if w not in self.words]
+    def learn(self, words) -> None:
+        """Encode those words (each after one space) that are not known yet, all in one call; afterwards all are known."""
+        new = set(words).difference(self.words)
         if not new:
             return
         size = sum(map(len, new))
         if self.held + size > CACHE_BYTES:
             self.words.clear()
-            self.held, new = 0, list(set(words))
+            self.held, new = 0, set(words)
             size = sum(map(len, new))
         self.held += size
         plain = [w for w in new if w and " " not in w and not w[0].isspace()]
@@ -109,7 +108,11 @@ class Codec:
                 self.words[w] = self.raw(" " + w)
 
     def words_of(self, text: str) -> list[str]:
-        return _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+        if text.isprintable():  # no white space but the single space
+            words = text.split(" ")
+            if "" not in words:
+                return words
+        return _BREAK.split(text)
 
     def plain(self, text: str) -> bytes:
         """The packed ids of a text without special tokens."""
@@ -121,10 +124,9 @@ class Codec:
 
     def encode_plain_batch(self, texts: list[str]) -> list[bytes]:
         split = [self.words_of(t) for t in texts]
-        self.learn([w for s in split for w in s[1:]])
-        if any(w not in self.words for s in split for w in s[1:]):  # more words than the cache takes at once
-            return [self.plain(t) for t in texts]
-        return [self.raw(s[0]) + b"".join(map(self.words.__getitem__, s[1:])) for s in split]
+        self.learn(set().union(*(s[1:] for s in split)))
+        known = self.words.__getitem__
+        return [(self.raw(s[0]) if s[0] else b"") + b"".join(map(known, s[1:])) for s in split]
 
     def segments(self, text: str) -> list[str]:
         """Ordinary texts and, at odd places, special tokens."""

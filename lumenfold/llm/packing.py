@@ -29,7 +29,7 @@ from .common import materialize, operator
 
 PART_TOKENS, WINDOW = 1 << 19, 32
 #: Blocks of a source's stream for each part, and how many blocks one task adds up in the prefix sums.
-BLOCKS, SPAN = 16, 1024
+BLOCKS, SPAN = 1, 1024
 ENCODED_BATCH = 256
 
 
@@ -225,6 +225,6 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, wei
     streams = spans.groupBy("block", "source", "base").agg(F.sort_array(F.collect_list(F.struct("begin", "part", "tokens", "start_at", "sent", "place"))).alias("plans"))
     queue = Window.partitionBy("block", "source").orderBy(F.xxhash64("doc_id", "turn", F.lit(4)), "doc_id", "n", F.crc32("ids"), "turn")
     queued = rows.select("doc_id", "source", "n", "ids", "turn", block).withColumn("inside", F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    placed = queued.join(streams, ["block", "source"]).select("doc_id", "n", "ids", (F.col("base") + F.col("inside")).alias("before"), "plans")
+    placed = queued.hint("merge").join(streams, ["block", "source"]).select("doc_id", "n", "ids", (F.col("base") + F.col("inside")).alias("before"), "plans")
     width = codec(spec.value).width
     return placed.mapInArrow(_cut(length, width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
