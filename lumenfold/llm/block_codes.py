@@ -39,9 +39,16 @@ def whole(x: np.ndarray, scale: float) -> np.ndarray:
     return np.array([[exact(float(v)) for v in row] for row in x], object)
 
 
+def _float(x: np.ndarray) -> np.ndarray:
+    """Integers as doubles, infinite where they are beyond those: what is computed from such ones decides nothing."""
+    if x.dtype != object:
+        return x.astype(float)
+    return np.array([float(v) if abs(v) < 1 << 1000 else (math.inf if v > 0 else -math.inf) for v in x.ravel()]).reshape(x.shape)
+
+
 def _profile(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means and residual norms of equally cut blocks of each row, and their numbers of components."""
-    pieces = np.array_split(x.astype(float), blocks, axis=1)
+    pieces = np.array_split(_float(x), blocks, axis=1)
     means = np.stack([p.mean(axis=1) for p in pieces], axis=1)
     rest = np.stack([np.sqrt(((p - p.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)) for p in pieces], axis=1)
     return means, rest, np.array([p.shape[1] for p in pieces], float)
@@ -61,7 +68,7 @@ def nearest_entries(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.
     levels = [1 << i for i in range(max(1, (width - 1).bit_length()))]
     with np.errstate(over="ignore", invalid="ignore"):
         of_entry = {b: _profile(entries, b) for b in levels}
-        norm = (entries.astype(float) ** 2).sum(axis=1)
+        norm = (_float(entries) ** 2).sum(axis=1)
         for at in range(0, n, TILE):
             part = x[at : at + TILE]
             rows = np.arange(len(part))
@@ -69,9 +76,9 @@ def nearest_entries(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.
             cm, cr, _ = of_entry[1]
             bound = w[0] * (m - cm.T) ** 2 + (r - cr.T) ** 2
             guess = np.where(np.isnan(bound), np.inf, bound).argmin(axis=1)
-            known = _distance(part, entries[guess]).astype(float)
+            known = _float(_distance(part, entries[guess]))
             # relative to the squares that a bound is made of; a bound that is no number keeps its entry
-            margin = 1e-9 * ((part.astype(float) ** 2).sum(axis=1)[:, None] + norm + 1)
+            margin = 1e-9 * ((_float(part) ** 2).sum(axis=1)[:, None] + norm + 1)
             i, j = np.nonzero(~(bound - margin > known[:, None]))
             for blocks in levels[1:]:
                 (m, r, w), (cm, cr, _) = _profile(part, blocks), of_entry[blocks]
@@ -166,8 +173,7 @@ def block_codes(df: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     dim = leader["dim"] if leader else 0
     cut, odd = kept.filter(F.size("v") == dim), kept.filter(F.size("v") != dim) if dim else kept
     first = cut.orderBy(*in_order).limit(entries).collect() if dim else []
-    start = whole(np.array([r["v"] for r in first]).reshape(-1, dim), scale)
-    books = np.stack(np.split(start, parts, axis=1)) if dim else np.zeros((parts, 0, 0), np.int64)
+    books = np.stack(np.split(whole(np.array([r["v"] for r in first]), scale), parts, axis=1)) if dim else np.zeros((parts, 0, 0), np.int64)
     for _ in range(rounds if dim else 0):
         shared = spark.sparkContext.broadcast(books)  # entries x components numbers
         partial = cut.select("v").mapInArrow(_sums(shared, scale), "part int, entry int, pos int, limb int, s long")
