@@ -6,29 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clip, is_finite, mask, pad, robust
+from .quantiles import Groups, attach, group_quantiles, groups_of
 
 FEATURES = ["f_std", "f_iqr", "f_amplitude", "f_median", "f_mad", "f_skew", "f_kurtosis"]
 MIN_POINTS, MIN_STD = 30, 1e-4
 
 
+def _finite(value: str) -> Column:
+    return F.when(is_finite(F.col(value)), F.col(value))
+
+
 def impute_median(df: DataFrame, key: str, value: str, out: str = "imputed") -> DataFrame:
     """Values that are not finite become the median of the finite ones of their curve."""
-    finite = F.when(is_finite(F.col(value)), F.col(value))
-    return df.withColumn(out, F.coalesce(finite, F.percentile(finite, F.lit(0.5)).over(Window.partitionBy(key))))
+    groups = groups_of(df, [key])
+    medians = group_quantiles(df.select(key, value), [key], {"_q": (_finite(value), [0.5])}, groups=groups)
+    return attach(df, medians, groups).withColumn(out, F.coalesce(_finite(value), F.col("_q")[0])).drop("_q")
 
 
 def normalize_by_median(df: DataFrame, key: str, value: str, out: str = "normalized") -> DataFrame:
-    return df.withColumn(out, F.col(value) / F.percentile(value, F.lit(0.5)).over(Window.partitionBy(key)))
+    """Values in medians of their curve, which values that are no number do not move."""
+    groups = groups_of(df, [key])
+    medians = group_quantiles(df.select(key, value), [key], {"_q": (F.col(value), [0.5])}, groups=groups)
+    return attach(df, medians, groups).withColumn(out, F.col(value) / F.col("_q")[0]).drop("_q")
 
 
-def curve_stats(df: DataFrame, key: str, value: str, label: Column | None = None) -> DataFrame:
-    """One row a curve after median imputation: counts, moments and quartiles, and its label."""
-    finite = F.when(is_finite(F.col(value)), F.col(value))
-    points = impute_median(df, key, value, "_x")
-    aggs = [F.count(F.lit(1)).alias("n"), F.count(finite).alias("n_finite"), F.stddev_pop("_x").alias("std"), F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("_x").alias("low"), F.max("_x").alias("high"), F.skewness("_x").alias("skew"), F.kurtosis("_x").alias("kurt")]
+def curve_stats(df: DataFrame, key: str, value: str, label: Column | None = None, groups: Groups | None = None) -> DataFrame:
+    """One row a curve after median imputation: counts, moments, quartiles and median deviation, and its label.
+
+    The imputed points are computed once: adding copies of the median does not move it, so deviations are known with it."""
+    groups = groups or groups_of(df, [key])
+    medians = group_quantiles(df.select(key, value), [key], {"_q": (_finite(value), [0.5])}, groups=groups)
+    points = attach(df, medians, groups).withColumn("_x", F.coalesce(_finite(value), F.col("_q")[0]))
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(_finite(value)).alias("n_finite"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("low"), F.max("_x").alias("high"), F.skewness("_x").alias("skew"), F.kurtosis("_x").alias("kurt")]
     if label is not None:
         aggs.append(label.alias("label"))
-    return points.groupBy(key).agg(*aggs)
+    wanted = {"q": (F.col("_x"), [0.25, 0.5, 0.75]), "_mad": (F.abs(F.col("_x") - F.col("_q")[0]), [0.5])}
+    return group_quantiles(points, [key], wanted, tuple(aggs), groups).withColumn("mad", F.col("_mad")[0]).drop("_mad")
 
 
 def discard_reason(stats: DataFrame, min_points: int = MIN_POINTS, min_std: float = MIN_STD, has_label: bool = True) -> Column:
@@ -38,23 +51,26 @@ def discard_reason(stats: DataFrame, min_points: int = MIN_POINTS, min_std: floa
     return out.when(F.col("n_finite") == 0, "all_invalid").when(F.col("n") < min_points, "short_curve").when(F.col("std") < min_std, "low_std").when(~is_finite(scaled), "nan_or_inf_after_norm").otherwise("ok")
 
 
-def curve_features(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The seven features of every curve; those that are not finite are 0, and skew, kurtosis and amplitude are clipped."""
-    stats = curve_stats(df, key, value)
-    deviations = impute_median(df, key, value, "_x").withColumn("_m", F.percentile("_x", F.lit(0.5)).over(Window.partitionBy(key)))
-    mad = deviations.groupBy(key).agg(F.percentile(F.abs(F.col("_x") - F.col("_m")), F.lit(0.5)).alias("mad"))
+def features_of(stats: DataFrame, key: str) -> DataFrame:
+    """The seven features of every curve from its statistics; those that are not finite are 0, and skew, kurtosis and amplitude are clipped."""
     safe = lambda c: F.when(is_finite(c), c).otherwise(0.0)
     columns = {
         "f_std": safe(F.col("std")), "f_iqr": safe(F.col("q")[2] - F.col("q")[0]), "f_amplitude": clip(safe(F.col("high") - F.col("low")), 0, 100), "f_median": safe(F.col("q")[1]),
         "f_mad": safe(F.col("mad")), "f_skew": clip(safe(F.col("skew")), -10, 10), "f_kurtosis": clip(safe(F.col("kurt")), -20, 20),
     }
-    return stats.join(mad, key).select(key, "n", *(c.alias(n) for n, c in columns.items()))
+    return stats.select(key, "n", *(c.alias(n) for n, c in columns.items()))
+
+
+def curve_features(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The seven features of every curve after median imputation."""
+    return features_of(curve_stats(df, key, value), key)
 
 
 def normalize_robust(df: DataFrame, key: str, value: str, out: str = "scaled") -> DataFrame:
-    w = Window.partitionBy(key)
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-    return df.withColumn("_q", q).withColumn(out, robust(F.col(value), F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_q")
+    """Values minus their curve's median in its interquartile ranges, clipped."""
+    groups = groups_of(df, [key])
+    quartiles = group_quantiles(df.select(key, value), [key], {"_q": (F.col(value), [0.25, 0.5, 0.75])}, groups=groups)
+    return attach(df, quartiles, groups).withColumn(out, robust(F.col(value), F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_q")
 
 
 def to_sequences(df: DataFrame, key: str, order: list[str], value: str, length: int) -> DataFrame:
@@ -65,19 +81,30 @@ def to_sequences(df: DataFrame, key: str, order: list[str], value: str, length:
     return whole.select(key, pad(F.col("_values"), length).alias("sequence"), mask(F.col("_values"), length).alias("mask"))
 
 
-def scale_features(features: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """Each feature minus its median in interquartile ranges over all objects; what is not finite becomes 0.
+def feature_quartiles(features: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """feature, q: the quartiles of each feature over all objects, exact by selection; with accuracy (say 10,000) from
+    sketches, within 1 / accuracy of the ranks."""
+    at = [0.25, 0.5, 0.75]
+    long = features.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("f")).select("f.*")
+    if accuracy is not None:
+        return long.groupBy("feature").agg(F.percentile_approx("x", F.array(*map(F.lit, at)), accuracy).alias("q"))
+    return group_quantiles(long, ["feature"], {"q": (F.col("x"), at)})
+
 
-    Exact quartiles meet every different value in one task; with accuracy (say 10,000) they are approximate within
-    1 / accuracy of the ranks, from sketches of fixed size, for very many objects."""
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartile = (lambda c: F.percentile(c, at)) if accuracy is None else (lambda c: F.percentile_approx(c, at, accuracy))
-    quartiles = features.agg(*(quartile(c).alias(f"_q_{c}") for c in columns))
+def apply_scaling(features: DataFrame, columns: list[str], quartiles: DataFrame) -> DataFrame:
+    """Each feature minus its median in interquartile ranges by given quartiles (feature, q); what is not finite becomes 0."""
+    one = quartiles.groupBy().pivot("feature", columns).agg(F.first("q"))  # one row, an array a feature
+    one = one.select(*(F.col(c).alias(f"_q_{c}") for c in columns))
     scaled = lambda c: (F.col(c) - F.col(f"_q_{c}")[1]) / (F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0] + F.lit(1e-8))
-    joined = features.join(F.broadcast(quartiles), F.lit(True))  # one row
+    joined = features.join(F.broadcast(one), F.lit(True))
     return joined.select(*(c for c in features.columns if c not in columns), *(F.when(is_finite(scaled(c)), scaled(c)).otherwise(0.0).alias(c) for c in columns))
 
 
+def scale_features(features: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Each feature minus its median in interquartile ranges over all objects; what is not finite becomes 0."""
+    return apply_scaling(features, columns, feature_quartiles(features, columns, accuracy))
+
+
 def encode_labels(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
     """Sorted different labels as 0, 1, ...; only they are numbered together, then join back."""
     classes = df.select(label).distinct().withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(label)) - 1)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import is_finite, robust
 from ..functions.labels import normalize_labels
-from ..operators.curves import FEATURES, MIN_POINTS, MIN_STD, curve_features, curve_stats, discard_reason, encode_labels, impute_median, normalize_robust, scale_features, to_sequences
+from ..operators.curves import FEATURES, MIN_POINTS, MIN_STD, curve_stats, discard_reason, encode_labels, features_of, scale_features, to_sequences
 from ..operators.matching import nearest_on_sky
+from ..operators.quantiles import attach, groups_of
 from ..operators.relations import cap_classes, exclude, stratified_split
 from ..sources.schema import backfill_labels, unify
 
@@ -35,12 +37,17 @@ def prepare_curves(points: DataFrame, length: int, cap: int | None = None, overr
     labels = points.groupBy("id").agg(F.min_by("label", F.struct("time", "value")).alias("label"))
     chosen = cap_classes(labels, "id", "label", cap, overrides, reinforced)
     kept = points.drop("label").join(chosen, "id")
-    stats = curve_stats(kept, "id", "value", F.min("label"))
+    groups = groups_of(kept, ["id"])
+    stats = curve_stats(kept, "id", "value", F.min("label"), groups)
     reasons = stats.withColumn("reason", discard_reason(stats, min_points, min_std)).select("id", "label", "reason")
-    good = reasons.filter(F.col("reason") == "ok").select("id", "label")
-    curves = impute_median(kept.join(good.select("id"), "id", "left_semi"), "id", "value")
-    sequences = to_sequences(normalize_robust(curves, "id", "imputed"), "id", ["time", "scaled"], "scaled", length)
-    features = scale_features(curve_features(curves, "id", "value").drop("n"), FEATURES)
+    good = stats.withColumn("_reason", discard_reason(stats, min_points, min_std)).filter(F.col("_reason") == "ok")
+    # quartiles of the imputed points are known from the statistics, and their median is that of the finite points
+    points = attach(kept.join(good.select("id"), "id", "left_semi"), good.select("id", F.col("q").alias("_q")), groups)
+    imputed = F.when(is_finite(F.col("value")), F.col("value")).otherwise(F.col("_q")[1])
+    scaled = points.withColumn("scaled", robust(imputed, F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0]))
+    sequences = to_sequences(scaled, "id", ["time", "scaled"], "scaled", length)
+    features = scale_features(features_of(good, "id").drop("n"), FEATURES)
+    good = good.select("id", "label")
     # ids are split alone: sequences are long and move once
     split = stratified_split(encode_labels(good, "label"), "id", "label", into_train=reinforced)
     return split.join(sequences, "id").join(features, "id").select("id", "label", "label_idx", "sequence", "mask", *FEATURES, "split"), reasons
