@@ -14,6 +14,13 @@ def dataset_summary(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.col(key)).alias("n_objects"))
 
 
+def schema_summary(df: DataFrame) -> DataFrame:
+    """One row a column: position (from 1), column, type, n_rows, n_null; counted in one pass."""
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)))
+    rows = [F.struct(F.lit(i + 1).cast("long").alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n_rows"), F.col(f"n{i}").alias("n_null")) for i, f in enumerate(df.schema.fields)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def raw_and_normalized(df: DataFrame, raw: str, normalized: str) -> DataFrame:
     """Counts of raw labels, each with the count of its class repeated."""
     by_raw = df.groupBy(raw, normalized).agg(F.count(F.lit(1)).alias("n_raw"))

@@ -60,7 +60,9 @@ def discrepancies(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: str = "NO_ENCONTRADO") -> DataFrame:
-    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    """Every row with its key's value, default without one. Of repeated keys in the table the smallest value counts."""
+    one = table.groupBy(key).agg(F.min(value).alias(value))
+    return df.join(one, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def cap_classes(df: DataFrame, ident: str, label: str, cap: int | None, overrides: dict[str, int | None] | None = None, always: DataFrame | None = None, seed: int = 42) -> DataFrame:

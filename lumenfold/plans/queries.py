@@ -19,18 +19,31 @@ from ..operators import evaluate as V
 from ..operators import quality as Q
 from ..operators import relations as R
 from ..operators.matching import nearest_on_sky
-from ..sources import readers, schema
+from ..sources import batches, readers, schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+class Tables:
+    """t(name) is a table of the folder; t.batches(name, rows) its rows with file and number of their batch."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def batches(self, name: str, rows: int) -> DataFrame:
+        return batches.read_batches(self.spark, f"{self.sf_dir}/{name}.parquet", rows=rows)
+
+
 def query(sql: str | None = None):
-    """Register a function of (table, ...) under its name; t(name) reads a table."""
+    """Register a function of Tables under its name."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -483,6 +496,11 @@ def set_difference(t):
     return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select(F.col("o_custkey").alias("k")))
 
 
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def set_difference_of_some(t):
+    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("k")))
+
+
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
 def set_intersection(t):
     return t("customer").select(F.col("c_custkey").alias("k")).intersect(t("orders").select(F.col("o_custkey").alias("k")))
@@ -777,6 +795,37 @@ def aug_gaussian(t):
     return _flat(vectors_of(t).withColumn("v", A.gaussian(F.col("v"), F.col("vec_id"))))
 
 
+# ---- batches: runs of rows of a file
+
+@query("WITH b AS (SELECT event_id, user_id, event_id // 128 AS batch FROM events), f AS (SELECT user_id, min(batch) AS batch FROM b GROUP BY user_id) SELECT event_id, user_id, batch FROM b JOIN f USING (user_id, batch)")
+def first_batch_only(t):
+    return batches.first_batch_only(t.batches("events", 128), "user_id").select("event_id", "user_id", "batch")
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_id // 128) AS n_batches FROM events GROUP BY user_id")
+def merged_batches(t):
+    return t.batches("events", 128).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("batch").alias("n_batches"))
+
+
+@query(f"SELECT event_id, {_s6('CASE WHEN NOT bool_or(event_id % 3001 = 0) OVER (PARTITION BY event_id // 1000) THEN value END', 'value')} FROM events")
+def batch_null_cast(t):
+    text = F.when(F.col("event_id") % 3001 == 0, "abc").otherwise(F.col("value").cast("string"))
+    return batches.cast_by_batch(t.batches("events", 1000).withColumn("value", text), {"value": "double"}).select("event_id", r6("value").alias("value"))
+
+
+@query("SELECT row_number() OVER () AS position, column_name AS column, (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM orders WHERE o_orderkey IS NOT NULL) AS n_keys FROM (DESCRIBE orders)")
+def schema_summary(t):
+    s = Q.schema_summary(t("orders"))
+    keys = s.filter("column = 'o_orderkey'").select((F.col("n_rows") - F.col("n_null")).alias("n_keys"))
+    return s.join(keys, F.lit(True)).select("position", "column", "n_rows", "n_keys")
+
+
+@query("SELECT n_nationkey, coalesce(min(s_name), 'NO_ENCONTRADO') AS name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey")
+def lookup_repeated_keys(t):
+    names = t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("name"))
+    return R.lookup(t("nation").select("n_nationkey"), names, "n_nationkey", "name")
+
+
 # ---- whole preparation
 
 @query()
