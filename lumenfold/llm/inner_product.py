@@ -10,6 +10,8 @@ a query visits at all.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -23,7 +25,10 @@ BLOCK_ROWS, CHUNK_ROWS, TILE = 8192, 4096, 512
 SMALL = 10_000
 #: Lengths of vectors that are rotated, the most frequent first, and the longest of them; others are searched unrotated, as exactly.
 ROTATED, ROTATED_DIM = 16, 2048
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_id long, vec_id long, score decimal(38,0)"
+DECIMAL = pa.decimal128(38, 0)
+#: The largest score that is ranked exactly.
+MOST = 10**38 - 1
 
 
 def _gram(batches):
@@ -55,13 +60,20 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise integer products; in Python integers where doubles might not hold them, at most the range of a long."""
+    """Row-wise integer products; Python integers where doubles might not hold them."""
     if not len(a):
         return np.zeros(0, np.int64)
     if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     big = [sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for r, s in zip(a, b, strict=True)]
-    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in big], np.int64)
+    out = np.empty(len(big), object)
+    out[:] = [max(-MOST, min(MOST, x)) for x in big]
+    return out
+
+
+def _below(score: np.ndarray) -> np.ndarray:
+    """Doubles that are not above the scores, as a double may lie above the integer it stands for."""
+    return np.nextafter(score.astype(float), -np.inf)
 
 
 def search_cell(xi: np.ndarray, x: np.ndarray, qi: np.ndarray, q: np.ndarray, floor: np.ndarray, rotation: np.ndarray | None, k: int):
@@ -73,7 +85,7 @@ def search_cell(xi: np.ndarray, x: np.ndarray, qi: np.ndarray, q: np.ndarray, fl
     xr, qr = (x, q) if rotation is None else (x @ rotation, q @ rotation)
     xt, qt = np.linalg.norm(xr[:, head:], axis=1), np.linalg.norm(qr[:, head:], axis=1)
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    least = np.nextafter(floor.astype(float), -np.inf)  # a double may lie above the long it stands for
+    least = _below(floor)
     for at in range(0, len(x), TILE):
         to = slice(at, at + TILE)
         slack = 1e-9 * (1 + qn * norm[at])
@@ -84,18 +96,19 @@ def search_cell(xi: np.ndarray, x: np.ndarray, qi: np.ndarray, q: np.ndarray, fl
         i, j = np.nonzero((bound + slack[live, None] >= least[live, None]) & (xi[None, to] != qi[live, None]))
         i, j = live[i], j + at
         score = np.concatenate([_exact(q[i[s : s + 100_000]], x[j[s : s + 100_000]]) for s in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
-        keep = score >= least[i]
+        keep = (score >= least[i]).astype(bool)
         best = tuple(np.concatenate(z) for z in zip(best, (i[keep], xi[j[keep]], score[keep]), strict=True))
         best = tuple(z[top_rows(best[0], _descending(best[2]), best[1], k)] for z in best)
         n = np.bincount(best[0], minlength=len(q))
         full = np.flatnonzero(n >= k)
         last = np.cumsum(n)[full] - 1
-        least[full] = np.maximum(least[full], np.nextafter(best[2][last].astype(float), -np.inf))
+        least[full] = np.maximum(least[full], _below(best[2][last]))
     return best
 
 
 def _descending(score: np.ndarray) -> np.ndarray:
-    return ~score  # order-reversing for all longs
+    """Keys that sort the scores from the highest down."""
+    return ~score if score.dtype != object else -np.unique(score, return_inverse=True)[1]
 
 
 @operator
@@ -105,14 +118,16 @@ def top_k_inner_product(df: DataFrame, is_query, k: int = 5, scale: float = 256.
     Components become floor(scale * x), the score is the integer inner product, ties go to the smaller id. Exact.
     Defined cases: rows with a null id, null or empty vector, or null or non-finite components take no part; vectors of
     different lengths are not compared; repeated rows with one id count once each as candidates, but a query's own id
-    is never its candidate; scores beyond a long are held at its ends; fewer than k candidates give fewer rows.
+    is never its candidate, and of a query's several vectors the smallest is asked for; ranks go by exact scores of up
+    to 38 digits, and a score that a long cannot hold is null; fewer than k candidates give fewer rows.
     """
     spark = df.sparkSession
     vectors = finite_vectors(df, id_col, vector_col)
     counts = vectors.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = finite_vectors(df.filter(F.coalesce(is_query, F.lit(False))), id_col, vector_col).dropDuplicates(["id"])
+    queries = finite_vectors(df.filter(F.coalesce(is_query, F.lit(False))), id_col, vector_col)
+    queries = queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     blocks = max(1, -(-counts // BLOCK_ROWS))
     chunks = max(1, -(-queries.count() // CHUNK_ROWS))
     turn = spark.sparkContext.broadcast(rotations(vectors))  # dim x dim numbers for each of at most ROTATED dimensions
@@ -126,11 +141,12 @@ def top_k_inner_product(df: DataFrame, is_query, k: int = 5, scale: float = 256.
 
     def search(t: pa.Table, u: pa.Table) -> pa.Table:
         if not len(t) or not len(u):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], DECIMAL)})
         x, q = np.floor(scale * matrix(t, "v")), np.floor(scale * matrix(u, "v"))
         xi, qi = t.column("id").to_numpy(), u.column("id").to_numpy()
-        i, j, s = search_cell(xi, x, qi, q, u.column("least").to_numpy(), turn.value.get(x.shape[1]), k)
-        return pa.table({"query_id": qi[i], "vec_id": j, "score": s})
+        least = pa.compute.fill_null(u.column("least").cast(pa.float64()), -np.inf).to_numpy()
+        i, j, s = search_cell(xi, x, qi, q, least, turn.value.get(x.shape[1]), k)
+        return pa.table({"query_id": qi[i], "vec_id": j, "score": pa.array([Decimal(int(v)) for v in s], DECIMAL)})
 
     def meet(blocks_of: DataFrame, asking: DataFrame) -> DataFrame:
         """Blocks go to the chunks that have a query for them, and to no others."""
@@ -140,18 +156,18 @@ def top_k_inner_product(df: DataFrame, is_query, k: int = 5, scale: float = 256.
         return fresh(left).groupBy("dim", "block", "chunk").cogroup(fresh(asking).groupBy("dim", "block", "chunk")).applyInArrow(search, OUT)
 
     longest = cells.join(first.withColumnRenamed("first", "block"), ["dim", "block"], "left_semi")
-    seed = materialize(meet(longest, asked.join(first.withColumnRenamed("first", "block"), "dim").withColumn("least", F.lit(-(2**62)))), "inner-product-seed")
+    seed = materialize(meet(longest, asked.join(first.withColumnRenamed("first", "block"), "dim").withColumn("least", F.lit(None).cast("decimal(38,0)"))), "inner-product-seed")
     if blocks == 1:
         found = seed
     else:
         kth = seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"), F.min("score").alias("kth"))
         bounds = stats.join(first, "dim").filter(F.col("block") > F.col("first")).groupBy("dim").agg(F.collect_list(F.struct("block", "top")).alias("blocks"))
-        limited = asked.join(kth, asked["id"] == kth["query_id"], "left").withColumn("least", F.when(F.col("have") >= k, F.col("kth")).otherwise(F.lit(-(2**62))))
+        limited = asked.join(kth, asked["id"] == kth["query_id"], "left").withColumn("least", F.when(F.col("have") >= k, F.col("kth")))
         # floor() moves a vector of length l by at most sqrt(dim); lengths are in units of 1 / scale here
         reach = lambda n: n * F.lit(scale) + F.sqrt(F.col("dim").cast("double"))
-        visits = limited.join(bounds, "dim").withColumn("blocks", F.filter("blocks", lambda b: reach(b["top"]) * reach(F.col("length")) * F.lit(1 + 1e-9) >= F.col("least").cast("double")))
+        visits = limited.join(bounds, "dim").withColumn("blocks", F.filter("blocks", lambda b: reach(b["top"]) * reach(F.col("length")) * F.lit(1 + 1e-9) >= F.coalesce(F.col("least").cast("double"), F.lit(float("-inf")))))
         rest = visits.select("dim", F.explode(F.col("blocks.block")).alias("block"), "chunk", "id", "v", "least")
         others = cells.join(first, "dim").filter(F.col("block") > F.col("first"))
         found = seed.unionByName(meet(others, rest))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))

@@ -114,3 +114,27 @@ def test_empty_tables_and_few_candidates(spark, search):
     assert search(df.filter("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
     few = search(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert sorted(r["rank"] for r in few) == [1, 2]
+
+
+def test_low_and_wide_scores_are_kept(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(0, [2.0**23.5]), (1, [-(2.0**23)]), (2, [1.0]), (50, [2.0**23.6])]
+    got = sorted(map(tuple, top_k_inner_product(frame(rows), F.col("vec_id") % 50 == 0).collect()))
+    ints = {i: math.floor(256 * v[0]) for i, v in rows}
+    want = [(q, k + 1, i, -s if -s < 2**63 else None) for q in (0, 50) for k, (s, i) in enumerate(sorted((-ints[q] * x, i) for i, x in ints.items() if i != q))]
+    assert got == want and min(s for *_, s in got if s) < -(2**62)
+    wide = [(i, [2.0**40 * x, 3.0 + i]) for i, x in enumerate((1, -1, 2, 2, -3))]
+    got = sorted(map(tuple, top_k_inner_product(frame(wide), F.col("vec_id") == 0).collect()))
+    assert [r[2] for r in got] == [3, 2, 1, 4] and [r[3] for r in got] == [None] * 4
+    near = [(0, [2.0**30, 1.0]), *((i, [2.0**22, float(i % 3)]) for i in range(1, 9))]  # scores beyond doubles that differ by little
+    got = sorted(map(tuple, top_k_inner_product(frame(near), F.col("vec_id") == 0).collect()))
+    assert [r[2] for r in got] == [2, 5, 8, 1, 4] and len({r[3] for r in got}) == 2
+
+
+def test_several_vectors_of_a_query_id(spark):
+    rows = [(0, [5.0]), (0, [-5.0]), (1, [1.0]), (2, [2.0])]
+    for order in (rows, rows[::-1]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(parts)
+            got = sorted(map(tuple, top_k_inner_product(df, F.col("vec_id") == 0, k=2).collect()))
+            assert got == [(0, 1, 1, -327680), (0, 2, 2, -655360)]
