@@ -126,7 +126,7 @@ def test_low_and_wide_scores_are_kept(spark):
     wide = [(i, [2.0**40 * x, 3.0 + i]) for i, x in enumerate((1, -1, 2, 2, -3))]
     got = sorted(map(tuple, top_k_inner_product(frame(wide), F.col("vec_id") == 0).collect()))
     assert [r[2] for r in got] == [3, 2, 1, 4] and [r[3] for r in got] == [None] * 4
-    near = [(0, [2.0**30, 1.0]), *((i, [2.0**22, float(i % 3)]) for i in range(1, 9))]  # scores beyond doubles that differ by little
+    near = [(0, [2.0**24, 1 / 256]), *((i, [2.0**20, i % 3 / 256]) for i in range(1, 9))]  # scores beyond doubles that differ by little
     got = sorted(map(tuple, top_k_inner_product(frame(near), F.col("vec_id") == 0).collect()))
     assert [r[2] for r in got] == [2, 5, 8, 1, 4] and len({r[3] for r in got}) == 2
 
@@ -138,3 +138,55 @@ def test_several_vectors_of_a_query_id(spark):
             df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(parts)
             got = sorted(map(tuple, top_k_inner_product(df, F.col("vec_id") == 0, k=2).collect()))
             assert got == [(0, 1, 1, -327680), (0, 2, 2, -655360)]
+
+
+def test_forest_prunes_at_its_own_constants(spark, monkeypatch):
+    """Calibrated recall and few rows read, with nothing set but the data: clusters with noise, and rows of none."""
+    import lumenfold.llm.prefix_forest as m
+
+    seen = {}
+    monkeypatch.setattr(m, "materialize", lambda df, label, f=m.materialize: seen.setdefault(label, f(df, label)))
+    r = np.random.default_rng(8)
+    n, d = 20_000, 32
+    x = r.normal(size=(300, d))[r.integers(0, 300, n)] + r.normal(size=(n, d)) * 0.25
+    x[::50] = r.normal(size=(n // 50, d)) * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest_neighbours(df, F.col("vec_id") % 400 == 7, k=10)
+    mine: dict[int, set] = {}
+    for g in out.collect():
+        mine.setdefault(g["query_id"], set()).add(g["vec_id"])
+    hit = 0
+    for q in range(7, n, 400):
+        s = ((x - x[q]) ** 2).sum(1)
+        s[q] = np.inf
+        hit += len(set(np.argpartition(s, 10)[:10].tolist()) & mine[q])
+    assert hit >= 0.9 * 10 * len(mine) and out.calibration["recall"] >= 0.93
+    read = seen["forest-visits"].selectExpr("query", "if(size(lists) = 0, 20000D, aggregate(transform(lists, x -> octet_length(x) / 8), 0D, (a, b) -> a + b)) as n").groupBy("query").sum("n").collect()
+    assert np.mean([v[1] for v in read]) < 0.15 * n
+
+
+def test_ascent_holds_what_calibration_asks_for():
+    from lumenfold.llm.prefix_forest import calibrate
+
+    needs = [5, 9, 1, 100, 7, 3, 8, 2, 6, 4]
+    assert calibrate(needs, 1, 0.9) == (9, 0.9) and calibrate(needs, 1, 1.0) == (100, 1.0) and calibrate(needs, 50, 0.1) == (50, 0.9) and calibrate([], 11, 0.9) == (11, 1.0)
+
+
+def test_ascent_beyond_a_run(spark, monkeypatch):
+    """Runs of two symbols, and queries that need all strings sharing one."""
+    import lumenfold.llm.prefix_forest as m
+
+    monkeypatch.setattr(m, "RUN_ROWS", 1)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for parameters in ({}, {"candidates": 60}):
+        got = nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=5, trees=10, **parameters).collect()
+        hit = 0
+        for q in range(0, 300, 20):
+            s = ((x - x[q]) ** 2).sum(1)
+            s[q] = np.inf
+            own = {g["vec_id"] for g in got if g["query_id"] == q}
+            assert len(own) == 5
+            hit += len(set(np.argsort(s)[:5].tolist()) & own)
+        assert hit >= 0.9 * 5 * 15
