@@ -45,6 +45,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _check_merges(merges: list, vocab: dict[str, int]) -> None:
+    """Raise unless the merges are those that the ids stand for: one for each longer token, in the order of the ids.
+
+    The encoder goes by the ids alone, so other merges would be passed over without an error."""
+    ids = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    longer = sorted(i for token, i in vocab.items() if len(token) > 1)
+    if ids != longer:
+        raise ValueError("only byte-level BPE with one merge for each longer token, in the order of the ids, is known here")
+
+
 class Codec:
     """Encodes and decodes like the tokenizers library for one byte-level BPE file; ids are packed little-endian."""
 
@@ -53,6 +63,8 @@ class Codec:
         pre, added = model.get("pre_tokenizer") or {}, model["added_tokens"]
         if model.get("normalizer") or model["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("only byte-level BPE without a normalizer, prefix space or flags of added tokens is known here")
+        contents = {t["content"] for t in added}
+        _check_merges(model["model"]["merges"], {t: i for t, i in model["model"]["vocab"].items() if t not in contents})
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}

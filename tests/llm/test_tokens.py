@@ -193,3 +193,20 @@ def test_other_kinds_of_tokenizer_files_are_refused():
 
 def test_tails_are_powers_of_two():
     assert tail_lengths(2048 * 2 + 11, 2048).tolist() == [2048, 2048, 8, 2, 1]
+
+
+def test_other_merges_are_refused():
+    import json
+
+    import public_tokenizers
+
+    from lumenfold.llm.bpe import Codec
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    merges = spec["model"]["merges"]
+    for other in ([*merges[1:], merges[0]], merges[:-1], [*merges, merges[0]]):
+        spec["model"]["merges"] = other
+        with pytest.raises(ValueError):
+            Codec(json.dumps(spec))
+    spec["model"]["merges"] = [" ".join(m) if isinstance(m, list) else m.split(" ") for m in merges]
+    assert Codec(json.dumps(spec)).bytes_of
