@@ -54,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def arrow_folder(spark: SparkSession, folder: str) -> str:
+    """A folder as pyarrow names it: with the scheme and host that Spark gives it, s3a and s3n as s3."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.toUri().getScheme() not in ("s3", "s3a", "s3n"):
+        path = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path)
+    uri = path.toUri()
+    scheme = "s3" if uri.getScheme() in ("s3a", "s3n") else uri.getScheme()
+    return f"{scheme}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 #: Settings of the jobs that write intermediate tables: Spark removes an execution's shuffle files when the execution ends
 #: (else they stay until the driver's garbage is collected), and long texts reach the Python workers a few at a time.
 JOBS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}

@@ -1,7 +1,8 @@
-"""Removal of repeated byte strings by column-wise construction of multi-document Burrows-Wheeler transforms.
+"""Removal of repeated byte strings by the column-wise construction of multi-document Burrows-Wheeler transforms.
 
-A byte goes if a string of LENGTH bytes that covers it also starts earlier. The collection whose transform is built has
-short documents, so the rounds are bounded: windows of WIDTH bytes.
+A byte goes if a string of LENGTH bytes that covers it also starts earlier. The collection has short documents, so the
+rounds are bounded: windows of WIDTH bytes. Of the transform a round needs the order of the suffixes alone, which it
+carries along with their common prefixes; the symbols that it inserts in that order, the transform's column, are not kept.
 
 1. Every LENGTH-byte string has an anchor: the smallest hash among its SEED-byte substrings. Equal strings have it at the
    same place. The window of an anchor (about one in 32 bytes) holds all strings that have it. Windows that are equal (in
@@ -10,8 +11,8 @@ short documents, so the rounds are bounded: windows of WIDTH bytes.
 2. Sorted by anchor, in one stream: an anchor with one window has no other repeats, its bytes are left out. An anchor
    that has many windows within one map task is known to stay, and its windows are dealt by their own hashes.
 3. The windows of all anchors of a partition are the collection of one construction, aligned on their anchors. Its state
-   lies in sequential files in the shared folder: a file for each column of symbols, and the transform, a run of the
-   suffixes' order, the symbols inserted and the prefixes that neighbours have in common. Each round reads the run of the
+   lies in sequential files in the shared folder: a file for each column of symbols, and a run for each round: the
+   suffixes' order and the prefixes that neighbours have in common. Each round reads the run of the
    round before and one column from begin to end, inserts one symbol of every window in front of its suffix, sorts stably
    by the inserted symbols within an anchor, updates the common prefixes with range minima, and writes the next run. Only
    a block of windows is in memory. Neighbours that share LENGTH symbols are equal strings; all but the earliest repeat.
@@ -30,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, operator, release, shared_dir, with_row_ids
+from .common import arrow_folder, materialize, operator, release, shared_dir, with_row_ids
 
 LENGTH, SEED = 100, 37
 SIDE = LENGTH - SEED  # bytes on either side of an anchor that its strings can reach
@@ -463,7 +464,8 @@ def repeated_spans(documents: DataFrame, piece: int = PIECE) -> DataFrame:
     contexts = texts.mapInArrow(_contexts, "h long, pieces long, doc long, at long, context binary")
     parted = contexts.withColumn("part", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc", "at"), F.col("pieces"))).otherwise(F.lit(0)).cast("long"))
     ordered = parted.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "at")
-    folder = f"{shared_dir(documents.sparkSession)}/transform-{uuid.uuid4().hex}"
+    spark = documents.sparkSession
+    folder = arrow_folder(spark, f"{shared_dir(spark)}/construction-{uuid.uuid4().hex}")
     built = materialize(ordered.mapInArrow(_build(piece, folder), "w1 long, w2 long, doc long, at long, start long, stop long"), "repeats-built")
     release(large)
     inside = built.filter((F.col("w1") == 0) & (F.col("w2") == 0)).select("doc", "start", "stop")

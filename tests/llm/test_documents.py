@@ -256,3 +256,17 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert bool(pieces) == bool(own)
         if own:
             assert {x["doc_id"] for x in pieces} == {*range(20), None}
+
+
+def test_the_shared_folder_has_the_scheme_that_spark_gives_it(spark, tmp_path):
+    from lumenfold.llm.common import arrow_folder
+
+    assert arrow_folder(spark, f"{tmp_path}/x") == f"file://{tmp_path}/x" == arrow_folder(spark, f"file:{tmp_path}/x") == arrow_folder(spark, f"file://{tmp_path}/x")
+    assert arrow_folder(spark, "s3a://bucket/a/b") == "s3://bucket/a/b"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "file:///")
+    try:
+        assert arrow_folder(spark, "/shared/x") == "file:///shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)
