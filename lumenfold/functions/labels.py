@@ -89,7 +89,7 @@ def normalize_labels(df: DataFrame, raw: str, out: str) -> DataFrame:
     for label, number in exact.items():
         tight.setdefault(re.sub("[ _-]", "", label), number)
     text = F.col(raw).cast("string")
-    key = F.trim(F.regexp_replace(F.translate(F.upper("_raw"), "-_", "  "), r"\s+", " "))
+    key = F.trim(F.regexp_replace(F.translate(F.upper("_raw"), "-_", "  "), r"(?U)\s+", " "))  # white space of any script, as no-break spaces
     known = df.select(text.alias("_raw")).filter("_raw is not null").distinct().withColumns({"_key": key, "_exact": _literal_map(exact), "_tight": _literal_map(tight)})
     number = _class_number(F.col("_key"), SEPARATORS, F.col("_exact"), F.col("_tight"))
     known = known.select("_raw", F.get(F.array(*map(F.lit, PREFERENCE)), number).alias("_class"))

@@ -30,10 +30,18 @@ def _cells(zone: Column, height: float, radius: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 / F.greatest(reach, F.lit(1e-9)))).cast("long")
 
 
+#: Cuts by declination of a dense cell before its slices.
+CUTS = 64
+#: Targets of a cell that one task meets; cells with more are cut into slices.
+DENSE = 4096
+
+
 def nearest_on_sky(probes: DataFrame, targets: DataFrame, radius_deg: float, probe: tuple[str, str, str], target: tuple[str, str, str], k: int = 1) -> DataFrame:
     """probe id, target id, separation (degrees): the k nearest targets of each probe within the radius, ties to the smaller id.
 
-    probe and target name id, ra and dec. Rows without coordinates match nothing.
+    probe and target name id, ra and dec. Rows without coordinates match nothing. A cell with more than DENSE targets is
+    cut by declination into slices of as many: a probe goes to the slices that its circle can touch, and its k nearest of
+    each slice meet. Targets at one place lie in several slices of the same declination, which all are asked.
     """
     height = max(radius_deg, 1e-4)
     p = probes.select(F.col(probe[0]).alias("probe_id"), F.pmod(F.col(probe[1]), F.lit(360.0)).alias("ra1"), F.col(probe[2]).alias("dec1")).filter(F.col("ra1").isNotNull() & F.col("dec1").isNotNull())
@@ -44,6 +52,36 @@ def nearest_on_sky(probes: DataFrame, targets: DataFrame, radius_deg: float, pro
     p = p.withColumn("zone", F.explode(F.sequence(own - 1, own + 1))).filter(F.col("zone").between(0, math.ceil(180 / height))).withColumn("cells", _cells(F.col("zone"), height, radius_deg))
     at = F.least(F.floor(F.col("ra1") / 360 * F.col("cells")).cast("long"), F.col("cells") - 1)
     p = p.withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(at + d, F.col("cells")))))).drop("cells")
-    pairs = p.join(t, ["zone", "cell"]).withColumn("separation", separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))).filter(F.col("separation") <= radius_deg)
+    dense = t.groupBy("zone", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE)
+    if dense.isEmpty():
+        pairs = p.join(t, ["zone", "cell"])
+    else:
+        pairs = _in_slices(p, t, dense, radius_deg)
+    near = pairs.withColumn("separation", separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))).filter(F.col("separation") <= radius_deg)
+    # each slice's best first: a probe in a dense field has any number of targets around it
+    parts = [c for c in ("zone", "cell", "slice") if c in near.columns]
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("probe_id", *parts).orderBy("separation", "target_id"))).filter(F.col("_r") <= k)
     best = Window.partitionBy("probe_id").orderBy("separation", "target_id")
-    return pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("probe_id", "target_id", "separation")
+    return near.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("probe_id", "target_id", "separation")
+
+
+def _in_slices(p: DataFrame, t: DataFrame, dense: DataFrame, radius: float) -> DataFrame:
+    """Pairs of probes and targets by (zone, cell, slice); slice 0 alone in cells that are not dense.
+
+    A dense cell is cut at quantiles of its targets' declination, from mergeable sketches; a cut with more than DENSE
+    targets is dealt by their hashes into slices, all of which its probes visit. Broadcast are rows of dense cells and of
+    their cuts: one at most for DENSE / CUTS targets."""
+    dense = F.broadcast(dense.select("zone", "cell"))
+    inside, outside = t.join(dense, ["zone", "cell"], "left_semi"), t.join(dense, ["zone", "cell"], "left_anti")
+    spread = inside.groupBy("zone", "cell").agg(F.percentile_approx("dec2", F.array(*(F.lit(i / CUTS) for i in range(1, CUTS))), 4 * CUTS).alias("cuts"))
+    spread = F.broadcast(spread)
+    cut = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("dec2")))
+    numbered = inside.join(spread, ["zone", "cell"]).withColumn("cut", cut)
+    shares = numbered.groupBy("zone", "cell", "cut").agg(F.ceil(F.count(F.lit(1)) / F.lit(DENSE)).alias("shares"), F.min("dec2").alias("low"), F.max("dec2").alias("high"))
+    shares = F.broadcast(shares)
+    sliced = numbered.drop("cuts").join(shares.drop("low", "high"), ["zone", "cell", "cut"])
+    sliced = sliced.withColumn("slice", (F.col("cut") * F.lit(1 << 32) + F.pmod(F.xxhash64("target_id", "ra2"), F.col("shares"))).cast("long")).drop("cut", "shares")
+    asked = p.join(shares, ["zone", "cell"]).filter((F.col("dec1") + radius >= F.col("low")) & (F.col("dec1") - radius <= F.col("high")))
+    asked = asked.withColumn("slice", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1), lambda i: i + F.col("cut") * F.lit(1 << 32)))).drop("cut", "shares", "low", "high")
+    plain = p.join(dense, ["zone", "cell"], "left_anti").withColumn("slice", F.lit(0).cast("long"))
+    return asked.unionByName(plain).join(sliced.unionByName(outside.withColumn("slice", F.lit(0).cast("long"))), ["zone", "cell", "slice"])

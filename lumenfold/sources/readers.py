@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .schema import unify
 
 CURVE_POINTS = "array<struct<mjd: double, mag: double, magerr: double>>"
+#: A cell behind its comma: in quotes, where quotes are doubled, or up to the next comma.
+CELL = r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'
 CURVE_JSON = f"map<string, struct<meta: struct<filter: string>, lc: {CURVE_POINTS}>>"
 
 
@@ -63,6 +65,12 @@ def scan_report(spark: SparkSession, *paths: str) -> DataFrame:
     return joined.withColumn("state", state).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
+def open_file(path: str):
+    """A file in any store that pyarrow's file systems open, for tasks."""
+    fs, inside = pyarrow.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pyarrow.fs.LocalFileSystem(), path)
+    return fs.open_input_file(inside)
+
+
 def parquet_footers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, rows, row groups and columns of each file; tasks read the footers alone, one row a file."""
 
@@ -70,8 +78,7 @@ def parquet_footers(spark: SparkSession, paths: list[str]) -> DataFrame:
         for part in parts:
             out = []
             for path in part["path"]:
-                fs, inside = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
-                with fs.open_input_file(inside) as f:
+                with open_file(path) as f:
                     m = pq.read_metadata(f)
                 out.append((path, m.num_rows, m.num_row_groups, m.num_columns))
             yield pd.DataFrame(out, columns=["path", "n_rows", "n_row_groups", "n_columns"])
@@ -136,7 +143,8 @@ def curve_files(spark: SparkSession, root: str) -> DataFrame:
     Header names are lower-cased, white space and quotes around cells go; empty files have no lines."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=True)
     lines = whole.select(file_stem().alias("stem"), F.split("value", r"\r?\n").alias("lines"))
-    cells = lambda line: F.transform(F.split(line, ","), lambda x: F.regexp_replace(x, r'^[\s"]+|[\s"]+$', ""))
+    # commas inside quotes do not separate cells
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), lambda x: F.regexp_replace(x, r'^[\s"]+|[\s"]+$', ""))
     split = lines.select("stem", F.transform(cells(F.col("lines")[0]), F.lower).alias("header"), F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
     return split.filter(F.trim("line") != "").select("stem", "header", cells(F.col("line")).alias("cells"))
 

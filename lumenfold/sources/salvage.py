@@ -9,14 +9,13 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from .readers import list_files
+from .readers import list_files, open_file
 from .schema import unify
 
 GROUPS = "path string, row_group int, first_row long, n_rows long, fields string, error string"
@@ -24,11 +23,6 @@ GROUPS = "path string, row_group int, first_row long, n_rows long, fields string
 ROWS = 10_000
 
 
-def _open(path: str):
-    fs, inside = pyarrow.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pyarrow.fs.LocalFileSystem(), path)
-    return fs.open_input_file(inside)
-
-
 def _error(e: Exception) -> str:
     return f"{type(e).__name__}: {e}".splitlines()[0][:300]
 
@@ -39,7 +33,7 @@ def _footers(batches):
         out = []
         for path in b.column("path").to_pylist():
             try:
-                with _open(path) as f:
+                with open_file(path) as f:
                     meta = pq.ParquetFile(f).metadata
                     fields = from_arrow_schema(meta.schema.to_arrow_schema()).json()
                 first = 0
@@ -58,7 +52,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _group(path: str, group: int, schema: pa.Schema) -> pa.Table:
     """A row group, decoded as a whole before any of its rows is handed on."""
-    with _open(path) as f:
+    with open_file(path) as f:
         return pq.ParquetFile(f).read_row_group(group, columns=schema.names).cast(schema)
 
 
