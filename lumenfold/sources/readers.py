@@ -105,12 +105,27 @@ def read_k2_catalog(spark: SparkSession, path: str, limit: int | None = None) ->
 
 
 def read_tic_slices(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """tic_id, tic_ra and tic_dec (columns 0, 13, 14) of gzip catalog slices; gzip is not split, so partitions spreads the rows."""
+    """tic_id, tic_ra and tic_dec (columns 0, 13, 14) of gzip catalog slices; Spark reads each file in one task, and
+    partitions spreads its rows. read_tic_members() reads files member by member."""
     schema = ", ".join(f"_c{i} string" for i in range(15))
-    df = spark.read.schema(schema).csv(path).select(F.col("_c0").try_cast("long").alias("tic_id"), F.col("_c13").try_cast("double").alias("tic_ra"), F.col("_c14").try_cast("double").alias("tic_dec")).na.drop()
+    df = _tic_columns(spark.read.schema(schema).csv(path))
     return df.repartition(partitions) if partitions else df
 
 
+def _tic_columns(df: DataFrame) -> DataFrame:
+    return df.select(F.col("_c0").try_cast("long").alias("tic_id"), F.col("_c13").try_cast("double").alias("tic_ra"), F.col("_c14").try_cast("double").alias("tic_dec")).na.drop()
+
+
+def read_tic_members(spark: SparkSession, root: str, glob: str = "*.csv.gz", partitions: int | None = None) -> DataFrame:
+    """The same rows as read_tic_slices from a folder: members of a file are inflated by tasks of their own, and lines
+    are parsed by partitions tasks whatever the number of files."""
+    from .gzip_lines import gzip_lines
+
+    schema = ", ".join(f"_c{i} string" for i in range(15))
+    lines = gzip_lines(spark, root, glob, partitions)
+    return _tic_columns(lines.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*"))
+
+
 def file_stem() -> Column:
     return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
 
@@ -175,6 +190,21 @@ def file_report(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFram
     return list_files(spark, root, glob).withColumn("is_empty", F.col("bytes") == 0)
 
 
+def checked_files(spark: SparkSession, root: str, schema: str, class_col: str, classes: list[str], glob: str = "*.csv") -> DataFrame:
+    """path, bytes, n_valid, n_corrupt, n_other_class and state of every CSV file below root: empty (no bytes), corrupt (a
+    row that does not fit the schema), other_class (no row of the target classes) or valid."""
+    bad = "_corrupt"
+    df = spark.read.schema(f"{schema}, {bad} string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(root)
+    state = F.when(F.col(bad).isNotNull(), "corrupt").when(F.col(class_col).isin(classes), "valid").otherwise("other_class")
+    # every column takes part, as a reader that skips some does not see that they are corrupt
+    rows = df.select(_plain_path(F.col("_metadata.file_path")).alias("_path"), state.alias("_state"), F.xxhash64(*(c for c in df.columns if c != bad)).alias("_all"))
+    counts = rows.groupBy("_path").agg(*(F.count_if((F.col("_state") == s) & F.col("_all").isNotNull()).alias(f"n_{s}") for s in ("valid", "corrupt", "other_class")))
+    joined = list_files(spark, root, glob).join(counts, _plain_path(F.col("path")) == F.col("_path"), "left").drop("_path")
+    joined = joined.na.fill(0, ["n_valid", "n_corrupt", "n_other_class"])
+    verdict = F.when(F.col("bytes") == 0, "empty").when(F.col("n_corrupt") > 0, "corrupt").when(F.col("n_valid") == 0, "other_class").otherwise("valid")
+    return joined.withColumn("state", verdict)
+
+
 def read_checked(spark: SparkSession, root: str, schema: str, class_col: str, classes: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of the target classes of CSV files, and the number and checksum of rows by state: valid, corrupt, other_class.
 
