@@ -191,14 +191,14 @@ def file_report(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFram
 
 
 def checked_files(spark: SparkSession, root: str, schema: str, class_col: str, classes: list[str], glob: str = "*.csv") -> DataFrame:
-    """path, bytes, n_valid, n_corrupt, n_other_class and state of every CSV file below root: empty (no bytes), corrupt (a
+    """path, bytes, n_valid, n_corrupt, n_other_class, checksum and state of every CSV file below root: empty (no bytes), corrupt (a
     row that does not fit the schema), other_class (no row of the target classes) or valid."""
     bad = "_corrupt"
     df = spark.read.schema(f"{schema}, {bad} string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(root)
     state = F.when(F.col(bad).isNotNull(), "corrupt").when(F.col(class_col).isin(classes), "valid").otherwise("other_class")
-    # every column takes part, as a reader that skips some does not see that they are corrupt
+    # the checksum reads all columns: a reader that skips some does not see that they are corrupt
     rows = df.select(_plain_path(F.col("_metadata.file_path")).alias("_path"), state.alias("_state"), F.xxhash64(*(c for c in df.columns if c != bad)).alias("_all"))
-    counts = rows.groupBy("_path").agg(*(F.count_if((F.col("_state") == s) & F.col("_all").isNotNull()).alias(f"n_{s}") for s in ("valid", "corrupt", "other_class")))
+    counts = rows.groupBy("_path").agg(*(F.count_if(F.col("_state") == s).alias(f"n_{s}") for s in ("valid", "corrupt", "other_class")), F.bit_xor("_all").alias("checksum"))
     joined = list_files(spark, root, glob).join(counts, _plain_path(F.col("path")) == F.col("_path"), "left").drop("_path")
     joined = joined.na.fill(0, ["n_valid", "n_corrupt", "n_other_class"])
     verdict = F.when(F.col("bytes") == 0, "empty").when(F.col("n_corrupt") > 0, "corrupt").when(F.col("n_valid") == 0, "other_class").otherwise("valid")
