@@ -60,13 +60,13 @@ def shard_rows(df: DataFrame, n: int, key_col: str = "doc_id", text_col: str = "
     """key_col, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     size: UTF-8 bytes of the text plus 8. slot: numbers the rows of a shard without gaps from 0. Rows are numbered
-    in 4096 blocks of a shard that the hash of the key picks, after the counts of the blocks before; so no task
-    holds a shard. Defined cases: null text counts as empty; a null key goes to shard 0 (both shards); rows with one
+    in 4096 blocks of a shard that the hash of key and text picks, after the counts of the blocks before; so no task
+    holds a shard, nor the rows of a frequent key. Defined cases: null text counts as empty; a null key goes to shard 0 (both shards); rows with one
     key share the shard and have slots of their own; other columns are not read; an empty table gives no rows.
     """
     shards = F.coalesce(jump_shards(key_of(df, key_col), n), F.struct(F.lit(0).alias("shard"), F.lit(0).alias("grown")))
-    block = F.pmod(F.xxhash64(F.col(key_col), F.lit(7)), F.lit(BLOCKS)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    block = F.pmod(F.xxhash64(F.col(key_col), F.crc32(text.cast("binary")), F.lit(7)), F.lit(BLOCKS)).cast("int")
     named = df.select(F.col(key_col), shards.alias("_s"), block.alias("_block"), F.octet_length(text).cast("long").alias("_n"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = named.select(key_col, (F.col("_n") + 8).alias("size"), "text_crc32", F.col("_s.shard").alias("shard"), F.col("_s.grown").alias("grown_shard"), "_block")
     counts = df.select(shards["shard"].alias("_shard"), block.alias("_b")).groupBy("_shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
