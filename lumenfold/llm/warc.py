@@ -18,15 +18,19 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import operator, ship
+from ..sources.readers import open_file
+from .common import arrow_folder, operator, ship
 from .html_text import RAW_END, Tags, nodes_of, read_page
 
 VERSION = "WARC/1.1"
 #: Bytes within which a record's headers end.
 HEADERS = 1 << 20
+#: Bytes of a file read at a time.
+READ = 1 << 20
 #: Stands in for the capture time where a table of pages has none.
 DATE = "2024-01-01T00:00:00Z"
 _LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action"}
@@ -73,41 +77,98 @@ def get(headers: list[tuple[str, str]], name: str) -> str:
     return next((v for k, v in headers if k.lower() == name.lower()), "")
 
 
-def opened(data: bytes) -> bytes:
-    """The bytes of gzip members, one after another; of a member cut short or damaged what comes before."""
-    out = []
+def opened(pieces):
+    """The bytes of a file that comes in pieces: of gzip members, one after another, or as they are. Of a member cut short or
+    damaged what comes before it."""
+    pieces = iter(pieces)
+    data = next(pieces, b"")
+    while len(data) < 2 and (more := next(pieces, None)) is not None:
+        data += more
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        yield from pieces
+        return
     while data[:2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
         try:
-            for at in range(0, len(data), 1 << 16):
-                out.append(member.decompress(data[at : at + (1 << 16)]))
-                if member.eof:
-                    data = member.unused_data + data[at + (1 << 16) :]
-                    break
-            else:
-                break
+            while not member.eof:
+                for at in range(0, len(data), 1 << 16):
+                    if out := member.decompress(data[at : at + (1 << 16)]):
+                        yield out
+                    if member.eof:
+                        data = member.unused_data + data[at + (1 << 16) :]
+                        break
+                else:
+                    data = next(pieces, None)
+                    if data is None:
+                        return
         except zlib.error:
-            break
-    return b"".join(out)
+            return
+        while len(data) < 2 and (more := next(pieces, None)) is not None:
+            data += more
+
+
+class _Window:
+    """The bytes of a stream from a place on; what lies before the place is forgotten."""
+
+    def __init__(self, pieces):
+        self.pieces, self.data, self.at, self.ended = iter(pieces), b"", 0, False
+
+    def has(self, n: int) -> bool:
+        """Whether n more bytes are there, after reading on for them."""
+        if self.at + n > len(self.data) and not self.ended:
+            out, size = [self.data[self.at :]], len(self.data) - self.at
+            while size < n and not self.ended:
+                piece = next(self.pieces, None)
+                self.ended = piece is None
+                out.append(piece or b"")
+                size += len(out[-1])
+            self.data, self.at = b"".join(out), 0
+        return self.at + n <= len(self.data)
+
+    def seek(self, mark: bytes) -> bool:
+        """Go to the next place of mark, if there is one."""
+        while True:
+            found = self.data.find(mark, self.at)
+            if found >= 0:
+                self.at = found
+                return True
+            self.at = max(self.at, len(self.data) - len(mark) + 1)
+            if not self.has(READ) and self.ended and self.data.find(mark, self.at) < 0:
+                return False
+
+
+def records_in(pieces):
+    """(headers, block) of each record of a WARC file that comes in pieces; gzip members are opened; a cut last record keeps
+    what is there. A record begins where the one before ends; after a wrong Content-Length, at the next line that begins
+    one. One record is in memory, and the pieces that hold its ends."""
+    w = _Window(opened(pieces))
+    going = w.seek(b"WARC/")
+    while going:
+        w.has(HEADERS + 4)
+        stop = w.at + HEADERS
+        end, mark = next(((e, m) for m in (b"\r\n\r\n", b"\n\n") if (e := w.data.find(m, w.at, stop)) >= 0), (-1, b""))
+        if end < 0:
+            while w.has(len(w.data) - w.at + READ):  # no end of the headers: all that is left
+                pass
+            end = len(w.data)
+        headers = parse_headers(w.data[w.at : end].partition(b"\n")[2])
+        size = int(n) if (n := get(headers, "content-length")).isdigit() else 0
+        w.at = end + len(mark)
+        w.has(size)
+        yield headers, w.data[w.at : w.at + size]
+        w.at = min(len(w.data), w.at + size)
+        while w.has(1) and w.data[w.at : w.at + 1] in (b"\r", b"\n"):
+            w.at += 1
+        w.has(5)
+        if not w.data.startswith(b"WARC/", w.at):
+            going = w.seek(b"\nWARC/")
+            w.at += going
 
 
 def read_records(data: bytes):
-    """(headers, block) of each record of a WARC file's bytes; gzip members are opened; a cut last record keeps what is
-    there. A record begins where the one before ends; after a wrong Content-Length, at the next line that begins one."""
-    if data[:2] == b"\x1f\x8b":
-        data = opened(data)
-    at = data.find(b"WARC/")
-    while at >= 0:
-        end, mark = next(((e, m) for m in (b"\r\n\r\n", b"\n\n") if (e := data.find(m, at, at + HEADERS)) >= 0), (len(data), b""))
-        start, headers = end + len(mark), parse_headers(data[at:end].partition(b"\n")[2])
-        size = int(n) if (n := get(headers, "content-length")).isdigit() else 0
-        yield headers, data[start : start + size]
-        at = start + size
-        while data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        if not data.startswith(b"WARC/", at):
-            found = data.find(b"\nWARC/", at)
-            at = found + 1 if found >= 0 else -1
+    """records_in for a file's bytes."""
+    return records_in([data])
 
 
 def title_and_links(page: str) -> tuple[str, list[dict]]:
@@ -237,19 +298,51 @@ def responses_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path and bytes of every record of the WARC files under path (plain or gzip); a file is one task's work."""
+    """path and bytes of every record of the WARC files under path (plain or gzip), read as streams, a file in one task.
+
+    Defined cases: records follow each other as records_in says; a record without a block has an empty one, and its
+    Content-Length is that of the bytes that are there; an empty file has no records. A record lies in memory as a whole."""
     ship(spark)
 
     def run(batches):
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for headers, block in read_records(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([record([h for h in headers if h[0].lower() != "content-length"], block)], pa.binary())], ["path", "record"])
+            for name in b.column(0).to_pylist():
+                with open_file(name) as f:
+                    for headers, block in records_in(iter(lambda: f.read(READ), b"")):
+                        whole = record([h for h in headers if h[0].lower() != "content-length"], block)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([whole], pa.binary())], ["path", "record"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+    names = spark.read.format("binaryFile").load(path).select("path")  # the contents are not read here
+    return names.repartition("path").mapInArrow(run, "path string, record binary")
 
 
 def write_warc(df: DataFrame, path: str, record_col: str = "record", compression: str = "gzip") -> None:
-    """Write derived records (their blocks are UTF-8) as WARC files, one for each partition."""
-    whole = F.col(record_col).cast("string")
-    df.select(F.substring(whole, F.lit(1), F.length(whole) - 4).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    """Write records as WARC files, one for each partition that has any: a gzip member a record, or plain with "none".
+
+    Blocks are written byte for byte. Tasks write under names of their own, and those of the attempts that counted are
+    renamed, so a lost executor leaves no half file. Defined cases: null records are left out; without records the folder
+    is there and empty."""
+    spark = df.sparkSession
+    ship(spark)
+    folder, end = arrow_folder(spark, path), ".warc.gz" if compression == "gzip" else ".warc"
+
+    def run(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        name, out = f"_{uuid.uuid4().hex}", None
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                if data is None:
+                    continue
+                out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(gzip.compress(data, mtime=0) if compression == "gzip" else data)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(path))
+    for i, r in enumerate(df.select(record_col).mapInArrow(run, "name string").collect()):
+        if not fs.rename(hadoop(f"{path}/{r['name']}"), hadoop(f"{path}/part-{i:05d}-{r['name'][1:9]}{end}")):
+            raise OSError(f"{r['name']} could not be renamed in {path}")

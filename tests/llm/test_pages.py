@@ -6,6 +6,7 @@ import json
 import math
 import random
 import time
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -310,3 +311,73 @@ def test_held_out_accuracy_and_rejection(spark, small):
     assert all(0 <= r["score"] <= 1 for r in rows) and identify(docs.filter("false"), model).count() == 0
     none = train(docs.filter("false"))
     assert {r["lang_pred"] for r in identify(docs.limit(3), none).collect()} == {"und"}
+
+
+def searched_records(data):
+    """(headers, block) by one search after another over the whole bytes."""
+    if data[:2] == b"\x1f\x8b":
+        whole, rest = b"", data
+        while rest[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            for i in range(len(rest)):
+                try:
+                    whole += member.decompress(rest[i : i + 1])
+                except zlib.error:
+                    rest = b""
+                    break
+                if member.eof:
+                    rest = member.unused_data + rest[i + 1 :]
+                    break
+            else:
+                rest = b""
+        data = whole
+    at, out = data.find(b"WARC/"), []
+    while at >= 0:
+        ends = [(data.find(m, at), len(m)) for m in (b"\r\n\r\n", b"\n\n")]
+        end, skip = next(((e, n) for e, n in ends if e >= 0), (len(data), 0))
+        headers = warc.parse_headers(data[at:end].partition(b"\n")[2])
+        n = warc.get(headers, "content-length")
+        start = end + skip
+        size = int(n) if n.isdigit() else 0
+        out.append((headers, data[start : start + size]))
+        at = start + size
+        while data[at : at + 1] in (b"\r", b"\n") and at < len(data):
+            at += 1
+        if not data.startswith(b"WARC/", at):
+            at = data.find(b"\nWARC/", at) + 1 or -1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_streams_give_the_records_of_the_whole_bytes(seed, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 7)
+    r = random.Random(seed)
+    parts = []
+    for i in range(12):
+        block = bytes(r.choice(b"WARC/\r\n\n\x00\xffab") for _ in range(r.randrange(60)))
+        made = warc.record([("WARC-Type", "response"), ("X", str(i))], block)
+        if r.random() < 0.3:
+            made = made.replace(b"Content-Length: ", r.choice([b"Content-Length: 9", b"Content-Length: x", b"content-length:"]))
+        parts.append(made)
+    data = b"".join(parts)[: -r.randrange(1, 40)]
+    for whole in (data, b"".join(map(gzip.compress, parts)), gzip.compress(data)[:-5], gzip.compress(data) + b"rubbish", b"", b"\x1f", b"no record"):
+        cuts = sorted(r.randrange(len(whole) + 1) for _ in range(20))
+        pieces = [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
+        want = searched_records(whole)
+        assert list(warc.records_in(pieces)) == want and list(warc.read_records(whole)) == want
+
+
+def test_binary_blocks_survive_a_file(spark, tmp_path):
+    blocks = [bytes(range(256)) * 3, b"", b"\xff\xfe\r\n\r\n", "é".encode()]
+    rows = [(warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<{i}>")], b),) for i, b in enumerate(blocks)] + [(None,)]
+    df = spark.createDataFrame(rows, "record binary").repartition(3)
+    for kind in ("gzip", "none"):
+        out = str(tmp_path / kind)
+        warc.write_warc(df, out, compression=kind)
+        again = warc.read_warc(spark, out).collect()
+        found = {warc.get(h, "warc-record-id"): b for r in again for h, b in warc.read_records(bytes(r["record"]))}
+        assert found == {f"<{i}>": b for i, b in enumerate(blocks)}
+    members = sum(p.read_bytes().count(b"\x1f\x8b\x08") for p in (tmp_path / "gzip").glob("*.gz"))
+    assert members >= 4 and not list((tmp_path / "gzip").glob("_*"))
+    warc.write_warc(df.filter("record is null"), str(tmp_path / "none_at_all"))
+    assert (tmp_path / "none_at_all").is_dir()
