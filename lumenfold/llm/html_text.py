@@ -10,9 +10,12 @@ The trees are fitted on PAGES pages that html_pages writes by rule (a fixed numb
 from __future__ import annotations
 
 import functools
+import importlib.resources
+import json
 import html
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -306,6 +309,18 @@ class Boosted:
             self.cut.append(np.concatenate(cuts))
             self.value.append(value)
 
+    def to_json(self) -> str:
+        """The edges and trees; a double is written so that it is read as itself."""
+        return json.dumps({"edges": [e.tolist() for e in self.edges], "feature": [f.tolist() for f in self.feature], "cut": [c.tolist() for c in self.cut], "value": [v.tolist() for v in self.value]})
+
+    @classmethod
+    def from_json(cls, text: str) -> Boosted:
+        model, found = cls.__new__(cls), json.loads(text)
+        model.edges = [np.array(e, float) for e in found["edges"]]
+        model.feature, model.cut = ([np.array(a, np.int64) for a in found[name]] for name in ("feature", "cut"))
+        model.value = [np.array(v, float) for v in found["value"]]
+        return model
+
     def bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], axis=1).astype(np.int16)
 
@@ -346,6 +361,16 @@ def trained(pages: int = PAGES, seed: int = 0) -> Boosted:
     return Boosted(np.concatenate(xs).astype(np.float64), np.concatenate(ys).astype(float), np.concatenate(ws))
 
 
+#: The model that trained() fits, written by ``python -m lumenfold.llm.html_text``; a test fits it again and compares.
+FITTED = "html_trees.json"
+
+
+@functools.lru_cache(1)
+def fitted() -> Boosted:
+    """The fitted trees that come with the library; nothing is fitted when a query is planned."""
+    return Boosted.from_json(importlib.resources.files(__package__).joinpath(FITTED).read_text("utf-8"))
+
+
 def decode(nodes: list[Node], logit: np.ndarray) -> list[str]:
     """Texts of the kept leaves under the most probable consistent choice.
 
@@ -396,7 +421,7 @@ def extract_text(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), h
     Defined cases: null or empty html, or a page without text, gives an empty text; repeated rows and null ids give a row
     each; other columns are not read; an empty table gives no rows.
     """
-    model = df.sparkSession.sparkContext.broadcast(trained())  # TREES trees of depth DEPTH, whatever the input
+    model = df.sparkSession.sparkContext.broadcast(fitted())  # TREES trees of depth DEPTH, whatever the input
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
 
     def run(batches):
@@ -407,3 +432,7 @@ def extract_text(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), h
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(id_cols))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*id_cols, "text", "n_chars"])
 
     return df.select(*(F.col(c) for c in id_cols), F.col(html_col)).mapInArrow(run, f"{types}, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    Path(__file__).with_name(FITTED).write_text(trained().to_json() + "\n", "utf-8")
