@@ -416,7 +416,9 @@ def similar_documents(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     edges = links.unionByName(more)
     if several:
         of_rows = rows.filter("n > 0").join(nodes.drop("n"), ["sid", "tag"]).join(numbered.select("row", "doc"), "row")
-        edges = edges.unionByName(of_rows.withColumn("u", F.min("node").over(Window.partitionBy("doc"))).select("u", F.col("node").alias("v")))
+        # one edge for each different set of an id to its first; a frequent id's sets are many rows of a join that is split
+        of_ids = of_rows.select("doc", F.col("node").alias("v")).distinct()
+        edges = edges.unionByName(of_ids.hint("merge").join(of_rows.groupBy("doc").agg(F.min("node").alias("u")), "doc").select("u", "v"))
     whole = connected_components(edges, "join-components")
     release(shared, sets, chosen, best, links, member, asked, loads)
     named_sets = nodes.select("sid", "tag", "node").hint("merge").join(whole, "node", "left").select("sid", "tag", F.coalesce("root", "node").alias("root"))

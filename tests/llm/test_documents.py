@@ -270,3 +270,59 @@ def test_the_shared_folder_has_the_scheme_that_spark_gives_it(spark, tmp_path):
         assert arrow_folder(spark, "/shared/x") == "file:///shared/x"
     finally:
         conf.set("fs.defaultFS", before)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage after the language against a plain form of it, each on what the stage before kept, and the whole run."""
+    import public_tokenizers
+    import tokenizers
+
+    import corpus_pipeline
+
+    r = random.Random(31)
+    parts = {"xx": ["ka", "lo", "mi", "tu", "ra"], "yy": ["schö", "wer", "ung", "zei", "lich"]}
+    word = lambda lang: "".join(r.choice(parts[lang]) for _ in range(r.randint(1, 4)))
+    passages = [" ".join(word("xx") for _ in range(40)) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        lang = "xx" if i % 3 else "yy"
+        words = [word(lang) for _ in range(r.choice([12, 40, 90]))]
+        rows.append([i, words, lang])
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            copy = list(words)
+            for _ in range(r.choice([0, 1, 3, len(words) // 8])):
+                copy[r.randrange(len(copy))] = word(lang)
+            rows.append([1000 + len(rows), copy, lang])
+        if r.random() < 0.2:
+            rows.append([1000 + len(rows), [word("xx") for _ in range(30)] + [r.choice(passages)] + [word("xx")], "xx"])
+    table = [(i, " ".join(w), lang, f"s{i % 4}", 0) for i, w, lang in rows] + [(9001, "12 34 !", "xx", "s1", 7), (9002, None, "yy", "s2", 0)]
+    path = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(table, schema).write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    collected = lambda df: {x["doc_id"]: x["text"] for x in df.collect()}
+    first = corpus_pipeline.materialize(corpus_pipeline.language(spark, docs, path), "test")
+    kept = collected(first)
+    assert len(kept) >= 0.97 * len(rows) and not {9001, 9002} & set(kept)
+    second = corpus_pipeline.materialize(corpus_pipeline.near_duplicates(spark, first, path), "test")
+    alone = {i for i, (_, root) in linked(list(kept.items()), 5, 80).items() if root == i}
+    assert set(collected(second)) == alone and len(alone) < len(kept) - 20
+    third = corpus_pipeline.materialize(corpus_pipeline.repeated_strings(spark, second, path), "test")
+    clean = {i: x[3].decode() for i, x in without_repeats(list(collected(second).items())).items()}
+    assert collected(third) == clean and any(len(clean[i]) < len(kept[i]) for i in clean)
+    encode = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    ids = {i: np.array([*encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in clean.items()}
+    pieces, at = corpus_pipeline.run(spark, path).collect(), collections.Counter()
+    for x in sorted(pieces, key=lambda x: (x["doc_id"], x["start"])):
+        own = ids[x["doc_id"]]
+        assert x["start"] == at[x["doc_id"]] and x["ids_crc32"] == zlib.crc32(own[x["start"] : x["start"] + x["length"]].tobytes())
+        at[x["doc_id"]] += x["length"]
+    assert at == {i: len(x) for i, x in ids.items()}
+
+
+def test_a_frequent_id_joins_through_its_first_set(spark):
+    r = random.Random(4)
+    rows = [(7, words_of(r, 30)) for _ in range(200)] + [(8, words_of(r, 30)), (None, words_of(r, 30))]
+    rows += [(9, rows[150][1]), (10, rows[3][1] + " more")]
+    got = {x["doc_id"]: x["component_id"] for x in similar_documents(frame(spark, rows)).collect()}
+    assert got == {7: 7, 8: 8, 9: 7, 10: 7}
