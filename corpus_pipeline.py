@@ -20,7 +20,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a language's model accepts, with the language it finds; rejected ones (no letter, or unlike all) go."""
+    """Documents that a language's model accepts, with the language it finds; rejected ones (no letter, or unlike all) go.
+
+    Null, empty and letterless texts are rejected; labels that are null teach nothing; rows that share an id, or have none,
+    are judged each by its text; a table without labels accepts nothing."""
     found = identify(docs, train(docs), keep=COLUMNS)
     return found.filter(F.col("accepted")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -36,13 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 100-byte strings that start earlier; n_chars follows. Rows stay."""
+    """Every document without the bytes of 100-byte strings that start earlier; n_chars follows. Rows stay.
+
+    Null texts become empty; rows that share an id come in the order of their texts' hashes, those without one last."""
     kept = remove_repeats(docs, keep=("lang", "source"), as_text=True, every_row=True)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens in which every source has its share."""
+    """Pieces of sequences of 2048 tokens in which every source has its share.
+
+    A null or empty text is the end token alone; rows without a source are a source; repeated rows are packed each."""
     return pack(docs, tokenizer_path(), length=2048, end_id=1)
 
 

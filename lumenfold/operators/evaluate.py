@@ -65,7 +65,3 @@ def curation_set(df: DataFrame, ident: str, truth: str, predicted: str, target:
 def reinforcement_candidates(wrong: DataFrame, source: DataFrame, train: DataFrame, key: str) -> DataFrame:
     """Ids with errors that the source has and training has not seen."""
     return wrong.select(key).distinct().join(source.select(key).distinct(), key, "left_semi").join(train.select(key).distinct(), key, "left_anti")
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
