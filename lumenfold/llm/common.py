@@ -83,11 +83,13 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, label: str, wanted: dict[str, str] | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor loses nothing.
+
+    wanted: settings of this job besides JOBS."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with settings(spark, JOBS):
+    with settings(spark, JOBS | (wanted or {})):
         df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path

@@ -36,6 +36,13 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Small Arrow batches: what the buffers of one group or batch of sets take, an executor keeps.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    return materialize(df, label, BATCHES)
+
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = x + np.uint64(salt)
@@ -367,45 +374,45 @@ def similar_documents(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     numbered = with_row_ids(asked, "doc", "text", "row")
     several = hasattr(numbered, "stored_at")  # rows that share an id have numbers of their own
     named = numbered.select("row", "text")
-    rows = materialize(named.mapInArrow(_describe(words, BUFFER), "row long, n long, sid long, tag int"), "join-rows")
+    rows = stored(named.mapInArrow(_describe(words, BUFFER), "row long, n long, sid long, tag int"), "join-rows")
     # a set's node is the smallest row that has it
-    nodes = materialize(rows.filter("n > 0").groupBy("sid", "tag").agg(F.min("row").alias("node"), F.first("n").alias("n")), "join-nodes")
+    nodes = stored(rows.filter("n > 0").groupBy("sid", "tag").agg(F.min("row").alias("node"), F.first("n").alias("n")), "join-nodes")
     emitted = named.mapInArrow(_emit_keys(words, percent, BUFFER), _KEYS)
-    counted = materialize(emitted.repartition("key").sortWithinPartitions("key", "sid", "info").mapInArrow(_counted(COUNTED), "key long, sid long, tag int, drop int, often int"), "join-counted")
+    counted = stored(emitted.repartition("key").sortWithinPartitions("key", "sid", "info").mapInArrow(_counted(COUNTED), "key long, sid long, tag int, drop int, often int"), "join-counted")
     rank = F.row_number().over(Window.partitionBy("sid", "tag").orderBy(F.col("often").desc(), "key"))
     rare = counted.withColumn("rank", rank).filter(F.col("rank") > F.col("drop")).select("key", "sid", F.shiftrightunsigned(F.col("tag"), 1).alias("tag"))
     rare = rare.hint("merge").join(nodes.select("sid", "tag", "node"), ["sid", "tag"]).select("key", "node")
-    shared = materialize(rare.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_repeated, "key long, first long, node long"), "join-keys")
+    shared = stored(rare.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_repeated, "key long, first long, node long"), "join-keys")
     release(counted)
     ends = shared.select(F.col("first").alias("node")).unionByName(shared.select("node")).distinct()
     # what grows with the table is never broadcast: joins whose strategy depends on the size read the texts otherwise at each size
     sets = named.hint("merge").join(ends.withColumnRenamed("node", "row"), "row", "left_semi").mapInArrow(_sets(words, BUFFER), "node long, tokens binary")
-    sets = materialize(sets, "join-sets")
-    chosen = materialize(sets.select("node", F.expr("cast(octet_length(tokens) / 8 as long)").alias("n")), "join-chosen")
+    sets = stored(sets, "join-sets")
+    chosen = stored(sets.select("node", F.expr("cast(octet_length(tokens) / 8 as long)").alias("n")), "join-chosen")
 
     # each set with the first set that it shares most keys with: the head of its cluster
     votes = shared.groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
-    best = materialize(votes.groupBy("node").agg(F.max_by("first", F.struct("n", "first")).alias("first")), "join-best")
+    best = stored(votes.groupBy("node").agg(F.max_by("first", F.struct("n", "first")).alias("first")), "join-best")
     spread = best.join(chosen, "node").groupBy("first").agg(_parts(OTHERS))
     others = best.join(spread, "first").withColumn("part", _split(F.col("node"), F.col("parts"))).select("first", "part", "node")
     others = others.hint("merge").join(sets, "node").select("first", "part", "node", "tokens")
     heads = spread.hint("merge").join(sets.withColumnRenamed("node", "first"), "first").select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tokens")
-    links = materialize(fresh(heads).groupBy("first", "part").cogroup(fresh(others).groupBy("first", "part")).applyInArrow(_with_first(percent), "u long, v long"), "join-links")
+    links = stored(fresh(heads).groupBy("first", "part").cogroup(fresh(others).groupBy("first", "part")).applyInArrow(_with_first(percent), "u long, v long"), "join-links")
     linked = connected_components(links, "join-components")
 
     # the matrix: groups, and the sets that share a key with a member of another component
-    member = materialize(_grouped(chosen, linked, best), "join-groups")
+    member = stored(_grouped(chosen, linked, best), "join-groups")
     release(linked)
     on_keys = shared.select("key", F.col("first").alias("node")).distinct().unionByName(shared.select("key", "node")).hint("merge").join(member, "node")
     mixed = on_keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
-    open_keys = materialize(on_keys.hint("merge").join(mixed, "key", "left_semi"), "join-open")
+    open_keys = stored(on_keys.hint("merge").join(mixed, "key", "left_semi"), "join-open")
     group, to = ("whole", "name", "part"), ("to_whole", "to_name", "to_part")
     groups = open_keys.select("key", *(F.col(x).alias(y) for x, y in zip(group, to, strict=True))).distinct()
     # of two groups one asks, and a set does not ask for its own component
     asked = open_keys.hint("merge").join(groups, "key").filter((F.struct(*group) <= F.struct(*to)) & ~((F.col("to_whole") == 1) & (F.col("to_name") == F.col("root"))))
-    asked = materialize(asked.select("node", "n", "root", *to).distinct(), "join-asked")
+    asked = stored(asked.select("node", "n", "root", *to).distinct(), "join-asked")
     release(open_keys)
-    loads = materialize(asked.groupBy(*to).agg(_parts(ASKING)), "join-loads")
+    loads = stored(asked.groupBy(*to).agg(_parts(ASKING)), "join-loads")
     by = [*to, "turn"]
     queries = asked.hint("merge").join(loads, [*to]).withColumn("turn", _split(F.col("node"), F.col("parts"))).join(sets, "node").select(*by, "node", "root", "tokens")
     members = member.select("node", "root", *(F.col(x).alias(y) for x, y in zip(group, to, strict=True))).join(loads, [*to])
@@ -436,9 +443,9 @@ def _grouped(sets: DataFrame, linked: DataFrame, best: DataFrame) -> DataFrame:
     the root as name), the other sets of a cluster into groups together (whole 0, the cluster's head as name)."""
     placed = sets.hint("merge").join(linked, "node", "left").hint("merge").join(best, "node", "left")
     placed = placed.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("first", "node").alias("cluster"))
-    placed = materialize(placed, "join-placed")
-    sizes = materialize(placed.groupBy("root").agg(F.count(F.lit(1)).alias("count")), "join-sizes")
+    placed = stored(placed, "join-placed")
+    sizes = stored(placed.groupBy("root").agg(F.count(F.lit(1)).alias("count")), "join-sizes")
     named = placed.join(sizes, "root").withColumn("whole", (F.col("count") >= GROUP).cast("int"))
     named = named.withColumn("name", F.when(F.col("whole") == 1, F.col("root")).otherwise(F.col("cluster")))
-    parts = materialize(named.groupBy("whole", "name").agg(_parts(GROUP)), "join-parts")
+    parts = stored(named.groupBy("whole", "name").agg(_parts(GROUP)), "join-parts")
     return named.join(parts, ["whole", "name"]).select("node", "n", "root", "whole", "name", _split(F.col("node"), F.col("parts")).alias("part"))
