@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
+import gc
 import re
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -105,6 +108,17 @@ def release(*frames: DataFrame) -> None:
             folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def forget_codecs() -> None:
+    """Free the tokenizers that a worker holds from a packing it did before: its next work needs the memory."""
+    bpe = sys.modules.get("lumenfold.llm.bpe")
+    if bpe and bpe.codec.cache_info().currsize:
+        bpe.codec.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # the C library keeps freed memory otherwise
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """df with columns of its own, so that it can be grouped together with another frame from the same table."""
     return df.select(*(F.col(c).alias(f"{c}_") for c in df.columns)).select(*(F.col(f"{c}_").alias(c) for c in df.columns))

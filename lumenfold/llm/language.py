@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, operator
+from .common import forget_codecs, materialize, operator
 
 #: Bound of the samples: documents of each language to count n-grams in, and to calibrate rejection on.
 SAMPLE, CALIBRATION = 1500, 300
@@ -223,6 +223,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     fit, held = ranked.filter(F.col("rank") % every != 0), ranked.filter(F.col("rank") % every == 0)
 
     def alphabet_of(batches):
+        forget_codecs()
         for b in batches:
             found = set("".join(t or "" for t in b.column(0).to_pylist()).lower())
             yield pa.RecordBatch.from_arrays([pa.array(sorted(c for c in found if c.isalpha()), pa.string())], ["c"])
@@ -277,6 +278,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kept = [id_col, *([text_col] if text_col in keep else []), *extra]
 
     def run(batches):
+        forget_codecs()
         m = shipped.value
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             texts = [t or "" for t in b.column(kept.index(text_col) if text_col in kept else len(kept)).to_pylist()]
