@@ -5,7 +5,7 @@ same chunks wherever they stand. A worker encodes a chunk once and keeps it: its
 certain break (a single space between two non-spaces, which no pre-token spans), with the words at the body's ends. What
 is left between two bodies, the join, is encoded anew together with the last word of the body before it and the first of
 the body after it. The re-encoded tokens must agree with those of the bodies there; where they don't, the join takes in
-the bodies and is encoded again, until they agree or the text ends. Words are encoded once as well.
+the bodies and is encoded again, until they agree or the text ends.
 
 Chunks are shared by all documents that a worker reads, not across workers: to send a chunk's tokens through a shuffle
 costs more than to encode it.
@@ -34,8 +34,10 @@ LONG_RUN = 4096
 _LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: One cut in 256 bytes on average, decided by the 16 bytes before it.
 WINDOW, MASK = 16, 255
-#: Entries are dropped when a worker's caches reach this many bytes of text; they only save time.
-CACHE_BYTES = 24 << 20
+#: Memory that a worker's chunks may take; as much again is held of the generation before. They only save time.
+CACHE_BYTES = 32 << 20
+#: What a chunk takes in memory besides its characters and ids: objects, their headers and a place in the table.
+CHUNK_COST = 700
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,18 +77,19 @@ class Codec:
         self.bytes_of = [b""] * size
         for token, i in [*ranks.items(), *((c.encode(), i) for c, i in self.special.items())]:
             self.bytes_of[i] = token
-        self.spaced = np.array([t[:1] == b" " for t in self.bytes_of])
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.single = tiktoken.Encoding("single", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # a text is one pre-token
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
-        self.held = self.chunks_held = 0
+        self.old_chunks: dict[bytes, tuple] = {}
+        self.held = 0
         self.gear = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 
     def raw(self, text: str) -> bytes:
         """The packed ids of a text. Of a run of white space all but the last character, or all at the text's end, is one
         pre-token; long runs are taken out here, as the pattern's search keeps a state for each character of them."""
+        if not text:
+            return b""
         found = _LONG.search(text) if len(text) >= LONG_RUN else None
         if not found:
             return np.array(self.bpe.encode_ordinary(text), self.width).tobytes()
@@ -97,49 +100,6 @@ class Codec:
             at, found = end, _LONG.search(text, found.end())
         return np.array([*out, *self.bpe.encode_ordinary(text[at:])], self.width).tobytes()
 
-    def learn(self, words) -> None:
-        """Encode those words (each after one space) that are not known yet, all in one call; afterwards all are known."""
-        new = set(words).difference(self.words)
-        if not new:
-            return
-        size = sum(map(len, new))
-        if self.held + size > CACHE_BYTES:
-            self.words.clear()
-            self.held, new = 0, set(words)
-            size = sum(map(len, new))
-        self.held += size
-        plain = [w for w in new if w and " " not in w and not w[0].isspace()]
-        if plain:
-            ids = self.ids(self.raw(" " + " ".join(plain)))
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(plain):
-                packed, at = ids.tobytes(), [*(starts * self.width.itemsize).tolist(), ids.nbytes]
-                self.words.update((w, packed[at[i] : at[i + 1]]) for i, w in enumerate(plain))
-        for w in new:
-            if w not in self.words:
-                self.words[w] = self.raw(" " + w)
-
-    def words_of(self, text: str) -> list[str]:
-        if text.isprintable():  # no white space but the single space
-            words = text.split(" ")
-            if "" not in words:
-                return words
-        return _BREAK.split(text)
-
-    def plain(self, text: str) -> bytes:
-        """The packed ids of a text without special tokens."""
-        first, *rest = self.words_of(text)
-        if first[:1] == " " and len(first) > 1 and not first[1].isspace():
-            rest, first = [first[1:], *rest], ""
-        self.learn(rest)
-        return (self.raw(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
-
-    def encode_plain_batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.words_of(t) for t in texts]
-        self.learn(set().union(*(s[1:] for s in split)))
-        known = self.words.__getitem__
-        return [(self.raw(s[0]) if s[0] else b"") + b"".join(map(known, s[1:])) for s in split]
-
     def segments(self, text: str) -> list[str]:
         """Ordinary texts and, at odd places, special tokens."""
         return self.cut_special.split(text) if self.cut_special else [text]
@@ -149,15 +109,9 @@ class Codec:
         return b"".join(special(s) if i % 2 else packed[i // 2] for i, s in enumerate(segments))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts by the word cache alone."""
+        """Packed ids of whole texts, without chunks."""
         parts = [self.segments(t) for t in texts]
-        flat = self.encode_plain_batch([s for p in parts for s in p[::2]])
-        out, at = [], 0
-        for p in parts:
-            n = (len(p) + 1) // 2
-            out.append(self._with_special(p, flat[at : at + n]))
-            at += n
-        return out
+        return [self._with_special(p, [self.raw(s) for s in p[::2]]) for p in parts]
 
     def cuts(self, raw: bytes) -> list[int]:
         """Ends of the content-defined chunks of a text, never inside a character."""
@@ -170,7 +124,8 @@ class Codec:
         return [*at[(b[at] & 0xC0) != 0x80].tolist(), len(b)]
 
     def chunk(self, raw: bytes) -> tuple[str, list[str], bytes, str]:
-        """Text before the first certain break, words and packed ids of the body, text after the last; no words if there is no body."""
+        """Text before the first certain break, the body's first word, the text between and its last word, the body's packed
+        ids, and text after the last break; no words if there is no body."""
         text = raw.decode("utf-8", "surrogatepass")
         first = _BREAK.search(text)
         if not first:
@@ -180,9 +135,23 @@ class Codec:
             last = text.rfind(" ", 0, last)
         if last == first.start():
             return text, [], b"", ""
-        words = self.words_of(text[first.start() + 1 : last])
-        self.learn(words)
-        return text[: first.start()], words, b"".join(map(self.words.__getitem__, words)), text[last:]
+        body = text[first.start() + 1 : last]
+        words = _BREAK.split(body)
+        if len(words) > 2:
+            words = [words[0], " ".join(words[1:-1]), words[-1]]
+        return text[: first.start()], words, self.raw(" " + body), text[last:]
+
+    def known_chunk(self, raw: bytes) -> tuple[str, list[str], bytes, str]:
+        """A chunk as it is kept from before, or is kept from now on."""
+        found = self.chunks.get(raw)
+        if found is None:
+            found = self.old_chunks.get(raw) or self.chunk(raw)
+            cost = 2 * len(raw) + len(found[2]) + CHUNK_COST
+            if self.held + cost > CACHE_BYTES:
+                self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
+            self.held += cost
+            self.chunks[raw] = found
+        return found
 
     def encode_chunked(self, text: str) -> bytes:
         """Packed ids of a whole text from reused chunks and repaired joins."""
@@ -194,17 +163,8 @@ class Codec:
         done: list[tuple] = []  # of each body so far: the join before it, that join's ids, the body's words and ids
         join = ""
         for end in self.cuts(raw):
-            key = raw[at:end]
+            head, words, body, tail = self.known_chunk(raw[at:end])
             at = end
-            found = self.chunks.get(key)
-            if found is None:
-                found = self.chunk(key)
-                self.chunks_held += len(key)
-                if self.chunks_held > CACHE_BYTES:
-                    self.chunks.clear()
-                    self.chunks_held = len(key)
-                self.chunks[key] = found
-            head, words, body, tail = found
             join += head
             if words:
                 repaired = self._repaired(done, join, words[0])
@@ -228,15 +188,11 @@ class Codec:
     def _repaired(self, done: list[tuple], join: str, lead: str | None) -> bytes | None:
         """Packed ids of a join encoded together with the words on its sides, without theirs; None if these come out otherwise."""
         trail = done[-1][2][-1] if done else None
-        left, right = (self._word(w) if w is not None else b"" for w in (trail, lead))
-        packed = self.plain((f" {trail}" if done else "") + join + (f" {lead}" if lead is not None else ""))
+        left, right = (self.raw(f" {w}") if w is not None else b"" for w in (trail, lead))
+        packed = self.raw((f" {trail}" if done else "") + join + (f" {lead}" if lead is not None else ""))
         agree = len(packed) >= len(left) + len(right) and packed.startswith(left) and packed.endswith(right)
         return packed[len(left) : len(packed) - len(right)] if agree else None
 
-    def _word(self, word: str) -> bytes:
-        self.learn([word])
-        return self.words[word]
-
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.width)
 
