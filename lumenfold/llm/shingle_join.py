@@ -27,7 +27,7 @@ from .components import connected_components
 
 #: Members of a matrix group, others that one task compares with a first set, asking sets that one task takes for a group;
 #: and the tokens that any of these hold together (one larger set stands alone).
-GROUP, OTHERS, ASKING, TOKENS = 256, 2048, 1024, 1 << 21
+GROUP, OTHERS, ASKING, TOKENS = 256, 2048, 1024, 1 << 19
 #: Bytes of text that are hashed at a time, and sets of one key up to which its frequency is counted (beyond, all are equally frequent).
 BUFFER, COUNTED = 1 << 20, 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
