@@ -103,7 +103,7 @@ def _cut(p: DataFrame, t: DataFrame) -> list[DataFrame]:
         within = rows.join(found[-1], _at(low - 1) == F.col("cut"), "left_semi") if found else rows
         counts = within.withColumn("path", _at(high) - F.lit(high << 3 + 4 * PLACE + 4 * BY_ID).cast("long")).groupBy("path").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
         each = counts.select("n1", "n2", F.explode(F.array(*(F.struct(F.lit(i).alias("step"), _at(i).alias("cut")) for i in range(low, high + 1)))).alias("c"))
-        cells = each.groupBy("c.step", "c.cut").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter((F.col("n1") > PROBES) | (F.col("n2") > TARGETS)).select("step", "cut").localCheckpoint()
+        cells = _held(each.groupBy("c.step", "c.cut").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter((F.col("n1") > PROBES) | (F.col("n2") > TARGETS)).select("step", "cut"))
         sizes = dict(cells.groupBy("step").count().collect())
         found += [_few(cells.filter(F.col("step") == i).select("cut"), sizes[i]) for i in range(low, high + 1) if i in sizes]
         if high not in sizes:
@@ -111,6 +111,14 @@ def _cut(p: DataFrame, t: DataFrame) -> list[DataFrame]:
     return found
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """Rows that several jobs read: in spark.checkpoint.dir, which executors share, or cached where there is none."""
+    context, found = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if found and not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
 def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST else df
 
@@ -133,7 +141,7 @@ def _tree(t: DataFrame, steps: int) -> DataFrame:
     own = F.struct(F.col("step"), F.col("cell").alias("above"), F.col("cell"))
     ways = [F.when(F.col("step") >= i, F.struct(F.lit(i).alias("step"), _at(i - 1).alias("above"), _at(i).alias("cell"))) for i in range(1, steps + 1)]
     each = t.select("x", "y", "z", F.explode(F.array_compact(F.array(own, *ways))).alias("c"))
-    return each.groupBy("c.step", "c.above", "c.cell").agg(*_box(F.count(F.lit(1)).alias("n"))).localCheckpoint()
+    return _held(each.groupBy("c.step", "c.above", "c.cell").agg(*_box(F.count(F.lit(1)).alias("n"))))
 
 
 def _kept(p: DataFrame, tree: DataFrame, steps: int, radius: float, k: int) -> DataFrame:
